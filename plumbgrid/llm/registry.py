@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from .decontaminate import op5_decontaminate
 from .licenses import op1_license_scan
+from .mixing import op6_mix
 from .pii import op2_pii
 from .secrets import op7_secrets
+from .simhash import op9_simhash
 from .token_counts import op10_token_counts
+from .token_files import op3_token_files
 
 
 def queries():
-    return {f.__name__: f for f in (op1_license_scan, op2_pii, op7_secrets, op10_token_counts)}
+    found = (op1_license_scan, op2_pii, op3_token_files, op5_decontaminate, op6_mix, op7_secrets, op9_simhash, op10_token_counts)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql():
