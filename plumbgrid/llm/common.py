@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 #: One word after A-Z are lower-cased; written for the text before lower-casing.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: What stands between two such words.
-GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: White space delimited words.
-TOKEN = r"[^\x20\x09-\x0D]+"
+#: What stands between two such words; single characters match faster than ranges.
+GAP = "[" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum()) + "]+"
+#: What stands between words that white space delimits.
+SPACE = r"[\x20\x09\x0A\x0B\x0C\x0D]+"
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,5 +47,15 @@ def text_or_empty(col: str | Column) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    """Array of lower-cased words; only for short texts or where the array itself is needed."""
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    """Array of lower-cased words, perhaps with empty strings at its ends."""
+    return F.split(F.lower(text), GAP, -1)
+
+
+def count_words(text: Column, gap: str) -> Column:
+    """How many words stand between gaps. Splitting is far cheaper than extracting matches: no copy of the text for each."""
+
+    def inner(parts: Column) -> Column:
+        empty = lambda at: F.when(F.element_at(parts, at) == "", 1).otherwise(0)
+        return F.size(parts) - empty(1) - empty(-1)
+
+    return F.when(F.length(text) == 0, F.lit(0)).otherwise(F.get(F.transform(F.array(F.split(text, gap, -1)), inner), F.lit(0))).cast("long")

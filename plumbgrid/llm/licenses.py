@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, WORD, load, text_or_empty, words_of
+from .common import GAP, WORD, count_words, load, text_or_empty, words_of
 
 #: Labels and the notices that stand for them.
 TEMPLATES = [
@@ -120,18 +120,15 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "__id",
         "__text",
         F.xxhash64("__text").alias("__hash"),
-        F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"),
+        count_words(text, GAP).alias("n_words"),
         *[F.when(any_phrase, c).otherwise(F.lit(0)).alias(f"__n{k}") for k, c in enumerate(counts)],
     )
 
-    def words_in(part: Column) -> Column:
-        return F.regexp_count(part, F.lit(WORD)).cast("long")
-
     firsts, lasts = [], []
     for k, (_, p) in enumerate(patterns):
         parts = F.split(F.col("__text"), p, -1)
-        firsts.append(F.when(F.col(f"__n{k}") > 0, words_in(F.element_at(parts, 1))))
-        lasts.append(F.when(F.col(f"__n{k}") > 0, F.col("n_words") - words_in(F.element_at(parts, -1)) - len(PHRASES[k][1].split())))
+        firsts.append(F.when(F.col(f"__n{k}") > 0, count_words(F.element_at(parts, 1), GAP)))
+        lasts.append(F.when(F.col(f"__n{k}") > 0, F.col("n_words") - count_words(F.element_at(parts, -1), GAP) - len(PHRASES[k][1].split())))
     base = base.select(
         "__id",
         "__hash",
