@@ -232,11 +232,10 @@ def contaminated(times: int = 20):
     return (F.col("n_hit") > 0) & (F.col("n_hit") * times >= F.col("n_words"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **settings) -> DataFrame:
     """The rows of `docs` that are not contaminated, with all their columns."""
-    bad = verbatim_matches(docs, benchmark, id_col, text_col, **settings).where(contaminated()).select(F.col("doc").alias("__d"), F.col("h").alias("__g"))
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__d")) & (F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))) == F.col("__g"))
-    return docs.join(bad, same, "left_anti")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    return verbatim_matches(whole, benchmark, "row", "text", **settings).where(~contaminated()).select("doc.*")
 
 
 def op5_decontaminate(spark, sf_dir):

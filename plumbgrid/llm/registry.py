@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .decontaminate import op5_decontaminate
+from .embeddings import op4_embedding_groups
+from .langid import op8_langid
 from .licenses import op1_license_scan
 from .mixing import op6_mix
 from .pii import op2_pii
@@ -13,9 +17,9 @@ from .token_files import op3_token_files
 
 
 def queries():
-    found = (op1_license_scan, op2_pii, op3_token_files, op5_decontaminate, op6_mix, op7_secrets, op9_simhash, op10_token_counts)
-    return {f.__name__: f for f in found}
+    found = (op1_license_scan, op2_pii, op3_token_files, op4_embedding_groups, op5_decontaminate, op6_mix, op7_secrets, op8_langid, op9_simhash, op10_token_counts)
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():
-    return {}
+    return {} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -174,5 +174,16 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return joined.select(F.col("doc").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The rows of `docs`, with all their columns, that stand for their groups: one row each, with the least id (null before all), then the least hash of the text."""
+    key = F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("h"))
+    groups = simhash_groups(docs.select(key.alias("key"), F.col(f"`{text_col}`").alias("text")), "key", "text", **settings)
+    stay = cut_lineage(groups.where(F.col("key") == F.col("component_id")).select("key").distinct(), "stay")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("k"))
+    same = F.col("k.id").eqNullSafe(F.col("key.id")) & (F.col("k.h") == F.col("key.h"))
+    rows = rows.join(stay, same, "left_semi").select("row", F.col("k.id").alias("__id"), F.col("k.h").alias("__h"))
+    return rows.dropDuplicates(["__id", "__h"]).select("row.*")
+
+
 def op9_simhash(spark, sf_dir):
     return simhash_groups(load(spark, sf_dir, "documents"))
