@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import cut_lineage, shared_dir, shared_path  # noqa: F401
+
 #: One word after A-Z are lower-cased; written for the text before lower-casing.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: What stands between two such words; single characters match faster than ranges.
@@ -20,26 +19,6 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not (found := getattr(shared_dir, "own", None)):
-            found = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="plumbgrid-")
-    return found.rstrip("/")
-
-
-def shared_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/plumbgrid-{tag}-{uuid.uuid4().hex}"
-
-
-def cut_lineage(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again, so that a lost executor costs no recomputation of what led to it."""
-    path = shared_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_or_empty(col: str | Column) -> Column:
     """Null texts count as empty."""
     col = F.col(col) if isinstance(col, str) else col
