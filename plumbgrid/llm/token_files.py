@@ -9,9 +9,12 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -21,53 +24,94 @@ from .common import cut_lineage, load, shared_path
 from .tokenizing import VOCABULARY, definition, tokenizer
 
 END = 2
-#: Words that a worker's cache holds at most; beyond that it starts anew.
-CACHE_WORDS = 250_000
+#: Words that a worker's cache holds before those that were not met again go.
+CACHE_WORDS = 1_000_000
+#: Texts that are encoded together.
+AT_ONCE = 2048
 
 
 class Encoder:
     """Ids of whole texts. Texts are cut before single spaces that a word follows, where the tokenizer never joins, and what comes often is encoded once."""
 
     def __init__(self, tok, special: tuple[str, ...]):
-        self.tok, self.special, self.cache = tok, special, {}
-
-    def _batch(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Of many texts at once, so that the new words of all go to the tokenizer together."""
-        cache = self.cache
-        split, missing = [], set()
-        for text in texts:
-            if any(s in text for s in self.special):
-                split.append([text])
-                missing.add(text)
-                continue
-            first, *words = text.split(" ")
-            if "" in words or any(w[0].isspace() for w in words):  # runs of space belong together
-                first, words = _joined(first, words)
-            parts = [first, *map(" ".__add__, words)] if first else [*map(" ".__add__, words)]
-            split.append(parts)
-            missing.update(p for p in parts if p not in cache)
-        if missing:
-            new = list(missing)
-            for at in range(0, len(new), 4096):
-                cache.update(zip(new[at : at + 4096], self._batch(new[at : at + 4096]), strict=True))
-        out = [np.frombuffer(b"".join([cache[p] for p in parts]), "<u4") for parts in split]
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
+        self.tok, self.special = tok, special
+        self.after_space: dict[str, bytes] = {}  # by word: the ids of a space and the word
+        self.known: dict[str, bytes] = {}  # by whole part
+
+    def _batch(self, parts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for at in range(0, len(parts), 4096) for e in self.tok.encode_batch_fast(parts[at : at + 4096], add_special_tokens=False)]
+
+    def _part(self, parts: set[str]) -> None:
+        new = [p for p in parts if p not in self.known]
+        self.known.update(zip(new, self._batch(new), strict=True))
+
+    def _words(self, new: list[str]) -> None:
+        """Learn words behind a space; marks behind letters are tokens of their own, so the letters are learned alone."""
+        held = self.after_space
+        cores = [w.rstrip(_MARKS) for w in new]
+        keys = [c if c.isalpha() else w for w, c in zip(new, cores, strict=True)]
+        todo = [k for k in dict.fromkeys(keys) if k not in held]
+        held.update(zip(todo, self._batch([" " + k for k in todo]), strict=True))
+        marked = [(w, k, w[len(k) :]) for w, k in zip(new, keys, strict=True) if w is not k and w != k]
+        self._part({marks for _, _, marks in marked})
+        held.update([(w, held[k] + self.known[marks]) for w, k, marks in marked])
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; the words of all are told apart at once, and each different one is looked up once."""
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        texts = pc.fill_null(texts, "")
+        whole = np.zeros(len(texts), bool)
+        for special in self.special:
+            whole |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
+        split = pc.split_pattern(pc.if_else(pa.array(whole), "", texts), " ")
+        counts = pc.list_value_length(split).to_numpy()
+        words = split.flatten().dictionary_encode()
+        at, distinct = words.indices.to_numpy().astype(np.int64), words.dictionary.to_pylist()
+        first = np.cumsum(counts) - counts
+        # a space before another space or a line's end belongs with what stands before it: those texts go another way
+        bare = pc.utf8_ltrim_whitespace(words.dictionary)
+        unsafe = pc.or_(pc.not_equal(bare, words.dictionary), pc.equal(bare, "")).to_numpy(zero_copy_only=False)
+        odd = unsafe[at]
+        odd[first] = False
+        whole |= np.add.reduceat(odd, first) > 0 if len(first) else whole
+        starts = [distinct[k] for k in at[first].tolist()]
+        apart = {k: self._joined(texts[k].as_py()) for k in np.flatnonzero(whole).tolist()}
+        found = list(map(self.after_space.get, distinct))
+        if len(self.after_space) > CACHE_WORDS:  # words that were met again stay
+            self.after_space = {w: ids for w, ids in zip(distinct, found, strict=True) if ids is not None}
+        new = [w for w, ids, u in zip(distinct, found, unsafe.tolist(), strict=True) if ids is None and not u]
+        self._words(new)
+        self._part(set(starts).union(*apart.values()))
+        known = self.known
+        # a table of the ids of the different words, then of the texts' first words
+        table = [*map(self.after_space.get, distinct, repeat(b"")), *map(known.__getitem__, starts)]
+        at[first] = len(distinct) + np.arange(len(first))
+        sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(np.frombuffer(b"".join(table), "<u4")))
+        flat = lists.take(pa.array(at)).flatten().to_numpy()
+        edges = np.cumsum(sizes[at])[first + counts - 1].tolist()
+        out = [flat[a:b] for a, b in zip([0, *edges], edges, strict=False)]
+        for k, parts in apart.items():
+            out[k] = np.frombuffer(b"".join([known[p] for p in parts]), "<u4")
         return out
 
+    def _joined(self, text: str) -> list[str]:
+        """Parts of a text that are safe to encode alone; words that are empty or start with white space go to the part before them."""
+        if any(s in text for s in self.special):
+            return [text]
+        first, *words = text.split(" ")
+        parts = [first]
+        for w in words:
+            if not w or w[0].isspace():
+                parts[-1] += " " + w
+            else:
+                parts.append(" " + w)
+        return parts
 
-def _joined(first: str, words: list[str]) -> tuple[str, list[str]]:
-    """Words that are empty or start with white space go to the part before them."""
-    parts = [first]
-    for w in words:
-        if not w or w[0].isspace():
-            parts[-1] += " " + w
-        else:
-            parts.append(w)
-    return parts[0], parts[1:]
+
+#: Marks at a word's end that the tokenizer parts from letters; an apostrophe isn't one.
+_MARKS = ".,!?;:#$%&*|)"
 
 
 def encoder(text: str) -> Encoder:
@@ -107,9 +151,9 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
             writer = pfor.Writer(sink)
             for batch in batches:
                 texts = batch.column(1)
-                for at in range(0, batch.num_rows, 128):
-                    names = batch.column(0).slice(at, 128).to_pylist()
-                    for name, ids in zip(names, enc.encode([t or "" for t in texts.slice(at, 128).to_pylist()]), strict=True):
+                for at in range(0, batch.num_rows, AT_ONCE):
+                    names = batch.column(0).slice(at, AT_ONCE).to_pylist()
+                    for name, ids in zip(names, enc.encode(texts.slice(at, AT_ONCE)), strict=True):
                         writer.add(name, np.append(ids, np.uint32(end)))
             writer.close(kind)
         filesystem.move(trial, target)

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -175,8 +176,6 @@ def test_pfor_round_trip(kind):
         assert (pfor.decode_blocks(b"".join(blocks := pfor.encode_blocks(ids)), np.cumsum([0, *map(len, blocks)])[:-1]) == ids).all()
         sink, cuts = io.BytesIO(), sorted(r.integers(0, n + 1, 4))
         w = pfor.Writer(sink, 2048)
-        import pyarrow as pa
-
         for k, (a, b) in enumerate(zip([0, *cuts], [*cuts, n])):
             w.add(k, ids[a:b])
         w.close(pa.int64())
@@ -214,7 +213,9 @@ def test_pieces(tok):
         text = "".join(r.choices("ab Z1.,'\n\t  é中 ", k=80))
         assert "".join(parts := list(pieces(text, 5))) == text
         assert [i for p in parts for i in tok.encode(p, add_special_tokens=False).ids] == tok.encode(text, add_special_tokens=False).ids
-        assert token_files.Encoder(tok, ("<|endoftext|>",)).encode([text])[0].tolist() == tok.encode(text, add_special_tokens=False).ids
+        texts = [text, "", None, text[40:] + "<|endoftext|>", "plain words, and marks."]
+        got = token_files.Encoder(tok, ("<|endoftext|>",)).encode(pa.array(texts, pa.string()))
+        assert [g.tolist() for g in got] == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
 def test_empty(spark):
