@@ -226,13 +226,13 @@ class Labeller:
         return self.table[np.fromiter(map(self.at.__getitem__, flat), np.int64, len(flat))]
 
 
-def label(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", runs: bool = False, batch_words: int = 300_000) -> DataFrame:
+def label(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", runs: bool = False, batch_words: int = 300_000, inner: bool = False) -> DataFrame:
     """One row per row of `docs`: the id, lang_pred, score, and with `runs` also runs, array<struct<word, words, lang>> (runs of words of one language).
 
     `und` with score 0 where the text is null or has no letter, or nothing was learned. The text alone is used.
-    Repeated rows are kept; other columns of `docs` are ignored.
+    Repeated rows are kept; other columns of `docs` are ignored. With `inner` the id is a struct that holds the text.
     """
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc"), *[F.col(text_col).cast("string").alias("text")] * (not inner))
     shared = rows.sparkSession.sparkContext.broadcast(model)
     kind = rows.schema["doc"].dataType.simpleString()
     run_type = pa.list_(pa.struct([("word", pa.int32()), ("words", pa.int32()), ("lang", pa.string())]))
@@ -261,7 +261,7 @@ def label(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
                         cut = [0, *(np.flatnonzero(np.diff(top[s : s + m])) + 1).tolist(), m]
                         spans[k] = [{"word": a, "words": b - a, "lang": labeller.model.langs[top[s + a]]} for a, b in zip(cut, cut[1:], strict=False)]
 
-            for k, value in enumerate(batch.column(1)):
+            for k, value in enumerate(batch.column(0).field(text_col) if inner else batch.column(1)):
                 text = value.as_py()
                 if not text or labeller is None or not has_letter(text):
                     continue
@@ -285,8 +285,8 @@ def label(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 
 def in_one_language(docs: DataFrame, model: Model | None, least: float, text_col: str = "text") -> DataFrame:
     """The rows of `docs`, with all their columns, whose text has a letter and a language with a score of `least` or more."""
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
-    return label(whole, model, "row").where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return label(whole, model, "row", text_col, inner=True).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
 
 
 def has_letter(text: str) -> bool:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
+from . import sql
 from .decontaminate import op5_decontaminate
 from .embeddings import op4_embedding_groups
 from .langid import op8_langid
@@ -22,4 +23,5 @@ def queries():
 
 
 def oracle_sql():
-    return {} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    found = {"op1_license_scan": sql.licenses(), "op4_embedding_groups": sql.EMBEDDINGS, "op5_decontaminate": sql.DECONTAMINATION}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
