@@ -10,7 +10,6 @@ from __future__ import annotations
 import uuid
 import zlib
 from array import array
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,9 @@ from .tokenizing import VOCABULARY, definition, tokenizer
 
 END = 2
 #: Words that a worker's cache holds before those that were not met again go.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
+#: Other parts that it holds; beyond that it starts anew.
+CACHE_PARTS = 50_000
 #: Texts that are encoded together.
 AT_ONCE = 2048
 
@@ -35,31 +36,55 @@ class Encoder:
 
     def __init__(self, tok, special: tuple[str, ...]):
         self.tok, self.special = tok, special
-        self.after_space: dict[str, bytes] = {}  # by word: the ids of a space and the word
-        self.known: dict[str, bytes] = {}  # by whole part
+        self.known: dict[str, bytes] = {}  # by part: first words, marks, and what is encoded whole
+        # words behind a space, and their ids one after the other; the empty word has none
+        self.words, self.sizes, self.ids = pa.array([""]), np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def _batch(self, parts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for at in range(0, len(parts), 4096) for e in self.tok.encode_batch_fast(parts[at : at + 4096], add_special_tokens=False)]
 
     def _part(self, parts: set[str]) -> None:
+        if len(self.known) > CACHE_PARTS:
+            self.known.clear()
         new = [p for p in parts if p not in self.known]
         self.known.update(zip(new, self._batch(new), strict=True))
 
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Places of words in the cache, -1 for those that it lacks."""
+        return pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().astype(np.int64)
+
+    def _learn(self, words: list[str], ids: list[bytes]) -> None:
+        if words:
+            self.words = pa.concat_arrays([self.words, pa.array(words, pa.string())])
+            self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, ids), np.int64, len(ids)) // 4])
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), "<u4")])
+
     def _words(self, new: list[str]) -> None:
         """Learn words behind a space; marks behind letters are tokens of their own, so the letters are learned alone."""
-        held = self.after_space
         cores = [w.rstrip(_MARKS) for w in new]
         keys = [c if c.isalpha() else w for w, c in zip(new, cores, strict=True)]
-        todo = [k for k in dict.fromkeys(keys) if k not in held]
-        held.update(zip(todo, self._batch([" " + k for k in todo]), strict=True))
-        marked = [(w, k, w[len(k) :]) for w, k in zip(new, keys, strict=True) if w is not k and w != k]
+        every = list(dict.fromkeys(keys))
+        held = self._places(pa.array(every, pa.string()))
+        todo = [k for k, at in zip(every, held.tolist(), strict=True) if at < 0]
+        encoded = dict(zip(todo, self._batch([" " + k for k in todo]), strict=True))
+        begins = np.cumsum(self.sizes) - self.sizes
+        for k, at in zip(every, held.tolist(), strict=True):
+            if at >= 0:
+                encoded[k] = self.ids[begins[at] : begins[at] + self.sizes[at]].tobytes()
+        marked = [(w, k, w[len(k) :]) for w, k in zip(new, keys, strict=True) if w != k]
         self._part({marks for _, _, marks in marked})
-        held.update([(w, held[k] + self.known[marks]) for w, k, marks in marked])
+        self._learn(todo + [w for w, _, _ in marked], [encoded[k] for k in todo] + [encoded[k] + self.known[marks] for _, k, marks in marked])
+
+    def _only(self, at: np.ndarray) -> None:
+        """Keep the cache's words at these places, and the empty one."""
+        at = np.unique(np.append(0, at))
+        begins = np.cumsum(self.sizes) - self.sizes
+        lists = pa.ListArray.from_arrays(pa.array(np.append(begins, len(self.ids)), pa.int32()), pa.array(self.ids))
+        self.ids = lists.take(pa.array(at)).flatten().to_numpy()
+        self.words, self.sizes = self.words.take(pa.array(at)), self.sizes[at]
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text; the words of all are told apart at once, and each different one is looked up once."""
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
         texts = pc.fill_null(texts, "")
         whole = np.zeros(len(texts), bool)
         for special in self.special:
@@ -67,28 +92,33 @@ class Encoder:
         split = pc.split_pattern(pc.if_else(pa.array(whole), "", texts), " ")
         counts = pc.list_value_length(split).to_numpy()
         words = split.flatten().dictionary_encode()
-        at, distinct = words.indices.to_numpy().astype(np.int64), words.dictionary.to_pylist()
+        at, distinct = words.indices.to_numpy().astype(np.int64), words.dictionary
         first = np.cumsum(counts) - counts
         # a space before another space or a line's end belongs with what stands before it: those texts go another way
-        bare = pc.utf8_ltrim_whitespace(words.dictionary)
-        unsafe = pc.or_(pc.not_equal(bare, words.dictionary), pc.equal(bare, "")).to_numpy(zero_copy_only=False)
+        bare = pc.utf8_ltrim_whitespace(distinct)
+        unsafe = pc.or_(pc.not_equal(bare, distinct), pc.equal(bare, "")).to_numpy(zero_copy_only=False)
         odd = unsafe[at]
         odd[first] = False
         whole |= np.add.reduceat(odd, first) > 0 if len(first) else whole
-        starts = [distinct[k] for k in at[first].tolist()]
+        starts = distinct.take(pa.array(at[first])).to_pylist()
         apart = {k: self._joined(texts[k].as_py()) for k in np.flatnonzero(whole).tolist()}
-        found = list(map(self.after_space.get, distinct))
-        if len(self.after_space) > CACHE_WORDS:  # words that were met again stay
-            self.after_space = {w: ids for w, ids in zip(distinct, found, strict=True) if ids is not None}
-        new = [w for w, ids, u in zip(distinct, found, unsafe.tolist(), strict=True) if ids is None and not u]
-        self._words(new)
+        place = self._places(distinct)
+        if len(self.words) > CACHE_WORDS:  # words that were met again stay
+            self._only(place[place >= 0])
+            place = self._places(distinct)
+        missing = (place < 0) & ~unsafe
+        if missing.any():
+            self._words(distinct.filter(pa.array(missing)).to_pylist())
+            place[missing] = self._places(distinct.filter(pa.array(missing)))
+        place[unsafe] = 0
         self._part(set(starts).union(*apart.values()))
         known = self.known
-        # a table of the ids of the different words, then of the texts' first words
-        table = [*map(self.after_space.get, distinct, repeat(b"")), *map(known.__getitem__, starts)]
-        at[first] = len(distinct) + np.arange(len(first))
-        sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
-        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(np.frombuffer(b"".join(table), "<u4")))
+        # the lists of the cache, then of the texts' first words
+        table = [known[w] for w in starts]
+        sizes = np.concatenate([self.sizes, np.fromiter(map(len, table), np.int64, len(table)) // 4])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(np.concatenate([self.ids, np.frombuffer(b"".join(table), "<u4")])))
+        at = place[at]
+        at[first] = len(self.sizes) + np.arange(len(first))
         flat = lists.take(pa.array(at)).flatten().to_numpy()
         edges = np.cumsum(sizes[at])[first + counts - 1].tolist()
         out = [flat[a:b] for a, b in zip([0, *edges], edges, strict=False)]
