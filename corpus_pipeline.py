@@ -15,8 +15,8 @@ from plumbgrid.llm.mixing import mixed_texts
 from plumbgrid.llm.simhash import one_of_each_group
 from plumbgrid.llm.token_files import token_output
 
-#: No language has more than half of a rejected text's words.
-LEAST_SCORE = 0.5
+#: Texts that switch between two or three languages stay; no language has three tenths of a rejected text's words.
+LEAST_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
