@@ -69,7 +69,7 @@ def lab_to_rgb(lab: Column) -> Column:
     return F.struct(*[F.floor(unit(v) * 255).cast("int").alias(k) for k, v in channels.items()])
 
 
-def elevation_feature(h: Column, feature: Column, mode: str, strength: float, amplitude: float = 1.0, middle: float = 0.0, inside: Column | None = None, fade: float = 256.0) -> Column:
+def elevation_feature(h: Column, feature: Column, mode: str, strength: float, amplitude: float = 1.0, middle: float | Column = 0.0, inside: Column | None = None, fade: float = 256.0) -> Column:
     """Height with a raster feature on it.
 
     `dem_height` moves h towards the feature less `middle`, fading to nothing at the raster's border (`inside`: distance

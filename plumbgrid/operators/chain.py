@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalar import fbm
 from ..functions.surface import elevation_feature
 from . import raster
 
@@ -55,8 +56,8 @@ def _feature(params: dict, n: int, extent: float, seed: int):
         inside = F.least(u, 1 - u, v, 1 - v) * found["size"]
         rows = df.crossJoin(F.broadcast(found["packed"]))  # one row, a raster of registered size
         at = raster.bilinear(F.col("__raster"), found["n"], found["n"], u, v)
-        middle = F.col("__middle") if mode == "dem_height" else F.lit(0.0)
-        return rows.withColumn("h", elevation_feature(F.col("h"), at - middle if mode == "dem_height" else at, mode, settings.get("strength", 1.0), settings.get("amplitude", 1.0), 0.0, inside)).drop("__raster", "__middle")
+        blended = elevation_feature(F.col("h"), at, mode, settings.get("strength", 1.0), settings.get("amplitude", 1.0), F.col("__middle"), inside)
+        return rows.withColumn("h", blended).drop("__raster", "__middle")
 
     return run
 
@@ -99,8 +100,6 @@ def bake(pages: DataFrame, catalog: list[dict], biome: int, n: int, extent: floa
 
 def point_heights(points: DataFrame, catalog: list[dict], seed: int = 0) -> DataFrame:
     """points (id, x, z) with h: the unweighted mean over the biomes of their generators alone."""
-    from ..functions.scalar import fbm
-
     bases = [stages_of(b["kernel"])[0].get("params") or {} for b in catalog]
     total = sum((fbm(F.col("x"), F.col("z"), seed=seed, **p) for p in bases[1:]), fbm(F.col("x"), F.col("z"), seed=seed, **bases[0]))
     return points.withColumn("h", total / len(bases))
