@@ -11,13 +11,16 @@ all texts, rarest first, which gives three exact filters:
   ``1 + min(n - i, m - j)`` words can be shared.
 
 What is left is verified word by word. The template side is a fixed list, so it is broadcast.
+
+A notice wrapped over several lines is found by windows of words, about as long as the template, that cross the
+end of a line: the same containment, joined by the same prefix words (`wrapped_blocks`).
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import GAP, WORD, count_words, load, text_or_empty, words_of
@@ -73,19 +76,24 @@ def template_index(templates: list[tuple[str, str]], order: list[str], threshold
     return out
 
 
-def license_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
-    """Every (text, line, template) with containment of `threshold` or more.
+def template_lengths(templates: list[tuple[str, str]]) -> list[int]:
+    """Words a window may hold: those of the notice with repeats, and a fifth more for what wrapping adds (comment marks)."""
+    import re
 
-    Returns __id, __hash (xxhash64 of the text), line (from 0), template, label, overlap, containment. Null and
-    empty texts hold no block. Rows with the same id and text return the same blocks once; rows with one id and
-    different texts stay apart by their hash. Other columns of `docs` are ignored, whatever their names.
-    """
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).alias("__id"), text_or_empty(text_col).alias("__text"))
+    return [(n := len(re.findall(WORD, notice))) + n // 5 for _, notice in templates]
+
+
+def _prefix_index(texts: DataFrame, templates: list[tuple[str, str]], threshold: float) -> tuple[list[str], list[tuple]]:
     vocabulary = sorted({w for words in template_words(templates) for w in words})
     seen = word_frequencies(texts, vocabulary)
     order = sorted(vocabulary, key=lambda w: (seen.get(w, 0), w))
-    index = template_index(templates, order, threshold)
+    return order, template_index(templates, order, threshold)
+
+
+def line_blocks(docs: DataFrame, id_col: str, text_col: str, templates: list[tuple[str, str]], threshold: float, order: list[str], index: list[tuple]) -> DataFrame:
+    """The blocks of one line."""
+    spark = docs.sparkSession
+    texts = docs.select(F.col(id_col).alias("__id"), text_or_empty(text_col).alias("__text"))
     keys = sorted({row[2] for row in index})
     ranked_vocabulary = F.array(*map(F.lit, order))
     small = spark.createDataFrame(index, "template int, label string, word string, j int, m int, need int, words array<string>")
@@ -104,8 +112,70 @@ def license_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
+def wrapped_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.8, prefix: tuple[list[str], list[tuple]] | None = None) -> DataFrame:
+    """Every notice that stands in a run of lines but in none of them alone.
+
+    A window of `template_lengths` words that holds `threshold` of a template's words holds one of its prefix words,
+    so only windows around those are verified. Windows over lines of which one meets the template alone are left out,
+    and windows of one template that share lines are one block: __id, __hash, line and last (first and last line),
+    template, label, overlap, containment.
+    """
+    texts = docs.select(F.col(id_col).alias("__id"), text_or_empty(text_col).alias("__text"))
+    order, index = prefix or _prefix_index(texts, templates, threshold)
+    keys = sorted({row[2] for row in index})
+    size = template_lengths(templates)
+    reach = max(size)
+    small = docs.sparkSession.createDataFrame([(*row, size[row[0]]) for row in index], "template int, label string, word string, j int, m int, need int, words array<string>, size int")
+    lines = F.transform(F.split("__text", "\n", -1), lambda line: F.array_remove(words_of(line), ""))
+    rows = texts.where(F.col("__text").contains("\n")).select("__id", F.xxhash64("__text").alias("__hash"), lines.alias("lines"))
+    rows = rows.select("__id", "__hash", F.flatten("lines").alias("tokens"), F.flatten(F.transform("lines", lambda words, k: F.array_repeat(k, F.size(words)))).alias("at"))
+    # rows of one text only: what stands around a prefix word, in reach of the longest template
+    probes = rows.select("__id", "__hash", "tokens", "at", F.posexplode("tokens").alias("p", "word")).where(F.col("word").isin(keys))
+    first = F.greatest(F.col("p") - (reach - 1), F.lit(0))
+    probes = probes.where(F.element_at("at", first + 1) < F.element_at("at", F.least(F.col("p") + reach, F.size("at"))))
+    around = lambda c: F.slice(c, first + 1, F.lit(2 * reach - 1))
+    probes = probes.select("__id", "__hash", "word", (F.col("p") - first).alias("p"), around("tokens").alias("tokens"), around("at").alias("at"))
+    begin = F.greatest(F.col("p") - F.col("size") + 1, F.lit(0))
+    near = F.slice("tokens", begin + 1, F.col("p") + F.col("size") - begin)
+    joined = probes.join(F.broadcast(small), "word").where(F.size(F.array_intersect(near, "words")) >= F.col("need"))
+
+    def window(b: Column) -> Column:
+        held = F.slice(F.col("tokens"), b + 1, F.col("size"))
+        end = F.least(b + F.col("size"), F.size("tokens"))
+        return F.struct(F.element_at("at", b + 1).alias("line"), F.element_at("at", end).alias("last"), F.size(F.array_intersect(held, "words")).alias("overlap"), held.alias("held"), F.slice("at", b + 1, F.col("size")).alias("of"))
+
+    # a window begins and ends with words of the template: the others change nothing but its lines
+    windows = joined.select("__id", "__hash", "template", "label", "m", "need", "words", F.explode(F.transform(F.sequence(begin, F.col("p")), window)).alias("w"))
+    windows = windows.where((F.col("w.overlap") >= F.col("need")) & (F.col("w.line") < F.col("w.last")))
+    mine = F.filter(F.zip_with("w.held", "w.of", lambda t, k: F.when(F.array_contains(F.col("words"), t), k)), lambda k: k.isNotNull())
+    found = windows.select("__id", "__hash", "template", "label", "m", F.array_min(mine).alias("line"), F.array_max(mine).alias("last"), F.col("w.overlap").alias("overlap"))
+    found = found.where(F.col("line") < F.col("last")).groupBy("__id", "__hash", "template", "label", "m", "line", "last").agg(F.max("overlap").alias("overlap"))
+
+    alone = line_blocks(docs, id_col, text_col, templates, threshold, order, index).select("__id", "__hash", "template", F.col("line").alias("own"))
+    same = [F.col(f"f.{c}").eqNullSafe(F.col(f"a.{c}")) for c in ("__id", "__hash", "template")]
+    found = found.alias("f").join(alone.alias("a"), same[0] & same[1] & same[2] & F.col("own").between(F.col("line"), F.col("last")), "left_anti")
+    per = Window.partitionBy("__id", "__hash", "template").orderBy("line", "last")
+    found = found.withColumn("opens", F.coalesce(F.col("line") > F.max("last").over(per.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int"))
+    found = found.withColumn("block", F.sum("opens").over(per.rowsBetween(Window.unboundedPreceding, 0)))
+    found = found.groupBy("__id", "__hash", "template", "label", "m", "block").agg(F.min("line").alias("line"), F.max("last").alias("last"), F.max("overlap").alias("overlap"))
+    return found.select("__id", "__hash", "line", "last", "template", "label", "overlap", (F.col("overlap") / F.col("m")).alias("containment"))
+
+
+def license_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
+    """Every (text, line, template) with containment of `threshold` or more, and what `wrapped_blocks` finds, by first line.
+
+    Returns __id, __hash (xxhash64 of the text), line (from 0), template, label, overlap, containment. Null and
+    empty texts hold no block. Rows with the same id and text return the same blocks once; rows with one id and
+    different texts stay apart by their hash. Other columns of `docs` are ignored, whatever their names.
+    """
+    texts = docs.select(F.col(id_col).alias("__id"), text_or_empty(text_col).alias("__text"))
+    order, index = _prefix_index(texts, templates, threshold)
+    alone = line_blocks(docs, id_col, text_col, templates, threshold, order, index)
+    return alone.unionByName(wrapped_blocks(docs, id_col, text_col, templates, threshold, (order, index)).drop("last"))
+
+
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
-    """One row per row of `docs`: the phrases it holds and the notices that its lines contain.
+    """One row per row of `docs`: the phrases it holds and the notices that its lines, or runs of its lines, contain.
 
     Columns: the id, n_words, n_base (places of a phrase), first_word, last_word (smallest and largest start in
     words, else null), base_labels and labels (distinct, sorted, comma-joined), score (largest containment; 1

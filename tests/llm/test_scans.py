@@ -69,6 +69,22 @@ def test_license_blocks_are_all_found(spark, docs):
     assert got == expected and expected
 
 
+@pytest.mark.parametrize("width", [16, 30, 80])
+def test_wrapped_notices_are_found(spark, width):
+    import textwrap
+
+    rows, expected = [], {}
+    for k, (label, notice) in enumerate(licenses.TEMPLATES):
+        lines = textwrap.wrap(notice, width, initial_indent=" * ", subsequent_indent=" * ", break_long_words=False, break_on_hyphens=False)
+        rows.append((k, "\n".join(["/*", " * Copyright the authors", *lines, " */", "int main;"])))
+        expected[k] = label
+    far = licenses.TEMPLATES[3][1].split()
+    rows.append((99, ("\n" + "plain words of another kind\n" * 8).join([" ".join(far[:9]), " ".join(far[9:])])))
+    got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(label in got[k].labels.split(",") and got[k].score >= 0.8 and got[k].n_blocks >= 1 for k, label in expected.items())
+    assert got[99].labels == "" and got[99].n_blocks == 0
+
+
 def luhn(s):
     d = [int(c) for c in s][::-1]
     return (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
