@@ -256,7 +256,7 @@ shared("seam_score", "SELECT round(greatest((SELECT avg((a.h - b.h) * (a.h - b.h
 
 def _kernel(name, kernel, columns, doc):
     def run(spark, sf_dir):
-        pages = relation(spark, sf_dir, "cameras").where("frame < 8").select("frame").withColumnRenamed("frame", "page")
+        pages = relation(spark, sf_dir, "cameras").select("frame").withColumnRenamed("frame", "page")
         rows = raster.noise_pages(pages.withColumns({"page_x": F.col("page") * 64.0, "page_z": F.lit(0.0)}), 32, 64.0, seed=7, frequency=1 / 48).drop("page_x", "page_z", "x", "z")
         return raster.per_page(rows, ["page"], kernel, columns)
 
@@ -398,7 +398,7 @@ def palette_kmeans(spark, sf_dir):
 @query()
 def periodicity(spark, sf_dir):
     """AGG23 on noise pages."""
-    pages = spark.range(4).selectExpr("id AS page", "id * 64e0 AS page_x", "0e0 AS page_z")
+    pages = relation(spark, sf_dir, "cameras").selectExpr("frame AS page", "frame * 64e0 AS page_x", "0e0 AS page_z")
     rows = raster.noise_pages(pages, 64, 64.0, seed=3, frequency=1 / 8)
     return raster.per_page(rows.drop("page_x", "page_z", "x", "z"), ["page"], lambda h: {"peak": np.full(h.shape, quality.periodic(h))}, ["peak"]).groupBy("page").agg(F.round(F.first("peak"), 3).alias("peak"))
 

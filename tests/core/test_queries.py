@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from plumbgrid.plans.queries import ORACLES, QUERIES
-from plumbgrid.plans.relations import TABLES
+from plumbgrid.plans.relations import TABLES, relation
 
 SF = "/root/testdata/sf0.01"
 
@@ -35,3 +35,11 @@ def test_against_sql(spark, duck, name):
 @pytest.mark.parametrize("name", [n for n in QUERIES if n not in ORACLES])
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("name", ["erosion_page", "thermal_page", "ridge_page", "drainage_page", "wrapped_blur", "periodicity", "chain_page"])
+def test_every_frame_has_its_page(spark, sf, name):
+    frames = {r.frame for r in relation(spark, sf, "cameras").collect()}
+    got = QUERIES[name](spark, sf)
+    pages = got.selectExpr("CAST(page_x / 64 AS BIGINT) AS page") if name == "chain_page" else got.select("page")
+    assert len(frames) > 8 and {r.page for r in pages.distinct().collect()} == frames
