@@ -11,8 +11,10 @@ hold it against "drawn evenly and independently from the alphabet":
 The combined p-value is three times the least, 1 at most. Random strings have p-values spread over [0, 1],
 others crowd at 0. Per encoding and class of length, Storey's estimate from the p-values above one half gives
 how many candidates are random, and so the share of false discoveries among those accepted at each level; the
-least level with a share of ``fdr`` or less is taken. The table it is read from has encodings x lengths x 100
-rows whatever the input.
+least level with a share of ``fdr`` or less is taken. Where fewer than ``FEW`` candidates of a class reach ``ALONE``,
+the estimate says nothing (half of all lone keys have no p-value above one half): there the p-value alone decides,
+at ``ALONE``, and the share of false discoveries is not controlled. The table it is read from has encodings x
+lengths x 100 rows whatever the input.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ ENCODINGS = [
 LENGTHS = [16, 20, 24, 32, 48, 64, 128]
 LEVELS = [0.01, 0.02, 0.05, 0.1, 0.2, 0.3]
 FDR = 0.05
+#: Of a class with fewer than FEW candidates at a p-value of ALONE or more, those are accepted.
+FEW, ALONE = 20, 0.05
 _SPANS = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
 
 
@@ -102,6 +106,9 @@ def levels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr:
         tables.setdefault((enc, size), [0] * 100)[b] += n
     out = {}
     for key, table in tables.items():
+        if sum(table[round(ALONE * 100) :]) < FEW:
+            out[key] = ALONE
+            continue
         random = 2 * sum(table[50:])
         for level in LEVELS:
             accepted = sum(table[round(level * 100) :])

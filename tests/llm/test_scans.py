@@ -152,6 +152,20 @@ def test_random_strings(spark):
     assert sum(got[k] for k in range(300, 600)) <= 15
 
 
+def test_a_lone_key_is_found_whatever_stands_beside_it(spark):
+    import random
+
+    r = random.Random(5)
+    alphabet = secrets.ENCODINGS[-1][2]
+    keys = spark.createDataFrame([("".join(r.choices(alphabet, k=64)),) for _ in range(40)], "k string")
+    judged = keys.select("k", secrets.battery(keys.k, alphabet).alias("p")).collect()
+    key = next(x.k for x in judged if 0.1 < x.p < 0.4 and any(c.isdigit() for c in x.k))
+    words = [f"chapter{k}-section{k}/paragraph_of_very_many_words_and_some_more_of_them{k}" for k in range(200)]
+    for beside in ([], words):
+        docs = spark.createDataFrame([(k, f"see {t} here") for k, t in enumerate([key, *beside])], "doc_id long, text string")
+        assert {x.doc_id for x in secrets.secret_scan(docs).collect() if x.n_random} == {0}
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert licenses.license_scan(none).count() == pii.pii_scan(none).count() == secrets.secret_scan(none).count() == 0
