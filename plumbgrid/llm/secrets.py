@@ -1,7 +1,6 @@
 """Secrets: known shapes, and strings that a battery of randomness tests takes for random.
 
-DataFrame functions only. A candidate is a run of 16 or more of ``[A-Za-z0-9+/_-]`` that holds a digit and a
-letter. Its encoding is inferred from the characters it uses; that gives an alphabet of K symbols. Three tests
+DataFrame functions only. A candidate is a run of 16 or more of ``[A-Za-z0-9+/_-]``. Its encoding is inferred from the characters it uses; that gives an alphabet of K symbols. Three tests
 hold it against "drawn evenly and independently from the alphabet":
 
 * chi-squared of its symbol counts (Wilson-Hilferty), upper tail;
@@ -30,17 +29,22 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS = r"AKIA[A-Z0-9]{12,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
 _RUN = r"[A-Za-z0-9+/_-]"
-RANDOM = rf"(?<!{_RUN})(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z]){_RUN}{{16,}}+"
+RANDOM = rf"(?<!{_RUN}){_RUN}{{16,}}+"
 
 #: Encodings by the characters they use, in the order of inference, with their alphabets.
 ENCODINGS = [
+    ("decimal", "[0-9]+", "0123456789"),
     ("hex", "[0-9a-f]+|[0-9A-F]+", "0123456789abcdef"),
+    ("letters", "[a-z]+|[A-Z]+", "abcdefghijklmnopqrstuvwxyz"),
     ("base36", "[0-9a-z]+|[0-9A-Z]+", "0123456789abcdefghijklmnopqrstuvwxyz"),
+    ("mixed", "[A-Za-z]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("base64", "[A-Za-z0-9+/_-]+", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/"),
 ]
 LENGTHS = [16, 20, 24, 32, 48, 64, 128]
 LEVELS = [0.01, 0.02, 0.05, 0.1, 0.2, 0.3]
 FDR = 0.05
+#: (encoding, class of length) in which long words reach ALONE: runs of 16 to 19 letters of one case need the estimate.
+WORDS = {(2, 0)}
 #: Of a class with fewer than FEW candidates at a p-value of ALONE or more, those are accepted.
 FEW, ALONE = 20, 0.05
 _SPANS = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
@@ -80,7 +84,7 @@ def battery(code: Column, alphabet: str) -> Column:
 
 def _judged(hit: Column) -> Column:
     """struct<enc: int, len: int, p: double> of a candidate."""
-    folded = {"hex": F.lower(hit), "base36": F.lower(hit), "base64": F.translate(hit, "-_", "+/")}
+    folded = {"decimal": hit, "hex": F.lower(hit), "letters": F.lower(hit), "base36": F.lower(hit), "mixed": hit, "base64": F.translate(hit, "-_", "+/")}
     enc, p = F.lit(len(ENCODINGS) - 1), battery(folded["base64"], ENCODINGS[-1][2])
     for at, (name, pattern, alphabet) in reversed(list(enumerate(ENCODINGS[:-1]))):
         fits = hit.rlike(f"^(?:{pattern})$")
@@ -94,7 +98,7 @@ def _judged(hit: Column) -> Column:
 def _candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     t = F.col("__text")
     rows = docs.select(F.col(id_col).alias("__id"), text_or_empty(text_col).alias("__text"))
-    return rows.select("*", matches(t, RANDOM, t.rlike("[0-9]")).alias("__m_random"))
+    return rows.select("*", matches(t, RANDOM, t.rlike(f"{_RUN}{{16}}")).alias("__m_random"))
 
 
 def levels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = FDR) -> dict[tuple[int, int], float]:
@@ -106,7 +110,7 @@ def levels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr:
         tables.setdefault((enc, size), [0] * 100)[b] += n
     out = {}
     for key, table in tables.items():
-        if sum(table[round(ALONE * 100) :]) < FEW:
+        if key not in WORDS and sum(table[round(ALONE * 100) :]) < FEW:
             out[key] = ALONE
             continue
         random = 2 * sum(table[50:])

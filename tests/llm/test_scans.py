@@ -166,6 +166,19 @@ def test_a_lone_key_is_found_whatever_stands_beside_it(spark):
         assert {x.doc_id for x in secrets.secret_scan(docs).collect() if x.n_random} == {0}
 
 
+@pytest.mark.parametrize("alphabet", ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"])
+def test_random_strings_of_digits_or_letters_only(spark, alphabet):
+    import random
+
+    r = random.Random(2)
+    made = ["".join(r.choices(alphabet, k=40)) for _ in range(100)]
+    words = ["the_name_of_a_long_variable", "aaaaaaaaaaaaaaaaaaaaaaaa", "0" * 40, "-" * 40, "some/path/to/another/file", "erteschstungkeit"]
+    docs = spark.createDataFrame([(k, f"see {t} here") for k, t in enumerate(made + words)], "doc_id long, text string")
+    got = {x.doc_id: x.n_random for x in secrets.secret_scan(docs).collect()}
+    assert sum(got[k] for k in range(100)) >= 80
+    assert not any(got[k] for k in range(100, 106))
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert licenses.license_scan(none).count() == pii.pii_scan(none).count() == secrets.secret_scan(none).count() == 0
