@@ -58,10 +58,10 @@ def check_registry(spark, sf_dir):
 
 
 def _tiles(spark, sf_dir):
-    return table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").selectExpr("s_suppkey AS tile", "s_nationkey AS ring", "CAST(s_suppkey % 8 AS INT) AS tx", "CAST(s_suppkey * 5 % 8 AS INT) AS tz")
+    return table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS tile", "s_nationkey AS ring", "CAST(s_suppkey % 8 AS INT) AS tx", "CAST(s_suppkey * 5 % 8 AS INT) AS tz")
 
 
-_TILES = "(SELECT s_suppkey AS tile, s_nationkey AS ring, CAST(s_suppkey % 8 AS INT) AS tx, CAST(s_suppkey * 5 % 8 AS INT) AS tz FROM {supplier} WHERE s_suppkey % 3 = 0)"
+_TILES = "(SELECT s_suppkey AS tile, s_nationkey AS ring, CAST(s_suppkey % 8 AS INT) AS tx, CAST(s_suppkey * 5 % 8 AS INT) AS tz FROM {supplier})"
 
 
 @query(f"SELECT tile, ring, tx - 2 AS tx, tz + 1 AS tz FROM {_TILES} t WHERE tx - 2 BETWEEN 0 AND 7 AND tz + 1 BETWEEN 0 AND 7")

@@ -37,27 +37,27 @@ def shared(name: str, body: str, duck: str | None = None) -> None:
 # spatial
 
 
-@query("SELECT q.id AS qid, p.id AS id, round((p.x-q.x)*(p.x-q.x)+(p.z-q.z)*(p.z-q.z), 6) AS d2 FROM points p JOIN points q ON q.id % 50 = 0 AND (p.x-q.x)*(p.x-q.x)+(p.z-q.z)*(p.z-q.z) <= 25e0")
+@query("SELECT q.id AS qid, p.id AS id, round((p.x-q.x)*(p.x-q.x)+(p.z-q.z)*(p.z-q.z), 6) AS d2 FROM points p JOIN points q ON q.id % 20 = 0 AND (p.x-q.x)*(p.x-q.x)+(p.z-q.z)*(p.z-q.z) <= 25e0")
 def spatial_radius(spark, sf_dir):
     """JOIN01, PRJ01, PRJ02."""
     points = relation(spark, sf_dir, "points")
-    probes = points.where("id % 50 = 0").select(F.col("id").alias("qid"), F.col("x").alias("qx"), F.col("z").alias("qz"), F.lit(5.0).alias("radius"))
+    probes = points.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("x").alias("qx"), F.col("z").alias("qz"), F.lit(5.0).alias("radius"))
     return spatial.radius_join(points, probes, 10.0).withColumn("d2", F.round("d2", 6))
 
 
-@query("SELECT q.id AS rid, p.id AS id FROM points p JOIN points q ON q.id % 40 = 0 AND p.x BETWEEN q.x AND q.x + 12e0 AND p.z BETWEEN q.z - 3e0 AND q.z + 4e0")
+@query("SELECT q.id AS rid, p.id AS id FROM points p JOIN points q ON q.id % 20 = 0 AND p.x BETWEEN q.x AND q.x + 12e0 AND p.z BETWEEN q.z - 3e0 AND q.z + 4e0")
 def spatial_rect(spark, sf_dir):
     """JOIN02, PRJ03."""
     points = relation(spark, sf_dir, "points")
-    rects = points.where("id % 40 = 0").selectExpr("id AS rid", "x AS x0", "z - 3e0 AS z0", "x + 12e0 AS x1", "z + 4e0 AS z1")
+    rects = points.where("id % 20 = 0").selectExpr("id AS rid", "x AS x0", "z - 3e0 AS z0", "x + 12e0 AS x1", "z + 4e0 AS z1")
     return spatial.rect_join(points, rects, 10.0)
 
 
-@query("SELECT qid, id, round(d2, 6) AS d2, CAST(rank AS INT) AS rank FROM (SELECT q.id AS qid, p.id AS id, (p.x-q.x)*(p.x-q.x)+(p.z-q.z)*(p.z-q.z) AS d2, row_number() OVER (PARTITION BY q.id ORDER BY (p.x-q.x)*(p.x-q.x)+(p.z-q.z)*(p.z-q.z), p.id) AS rank FROM points p JOIN points q ON q.id % 25 = 0) t WHERE rank <= 3")
+@query("SELECT qid, id, round(d2, 6) AS d2, CAST(rank AS INT) AS rank FROM (SELECT q.id AS qid, p.id AS id, (p.x-q.x)*(p.x-q.x)+(p.z-q.z)*(p.z-q.z) AS d2, row_number() OVER (PARTITION BY q.id ORDER BY (p.x-q.x)*(p.x-q.x)+(p.z-q.z)*(p.z-q.z), p.id) AS rank FROM points p JOIN points q ON q.id % 20 = 0) t WHERE rank <= 3")
 def spatial_knn(spark, sf_dir):
     """JOIN03, SRT01."""
     points = relation(spark, sf_dir, "points")
-    probes = points.where("id % 25 = 0").selectExpr("id AS qid", "x AS qx", "z AS qz")
+    probes = points.where("id % 20 = 0").selectExpr("id AS qid", "x AS qx", "z AS qz")
     return spatial.nearest_join(points, probes, 3, 5.0).withColumn("d2", F.round("d2", 6))
 
 
@@ -274,10 +274,10 @@ _kernel("wrapped_blur", lambda h: {"blur": raster.blurred(h.astype(float), 2.0,
 # store, usage, streams in batch form
 
 
-@query("WITH RECURSIVE d AS (SELECT s.key AS start, deps.key AS key FROM (SELECT key FROM artifacts WHERE key % 97 = 1) s JOIN deps ON deps.depends_on = s.key UNION SELECT d.start, deps.key FROM d JOIN deps ON deps.depends_on = d.key) SELECT start, key FROM d")
+@query("WITH RECURSIVE d AS (SELECT s.key AS start, deps.key AS key FROM (SELECT key FROM artifacts WHERE key % 20 = 0) s JOIN deps ON deps.depends_on = s.key UNION SELECT d.start, deps.key FROM d JOIN deps ON deps.depends_on = d.key) SELECT start, key FROM d")
 def dep_closure(spark, sf_dir):
     """GRF01, GRF02."""
-    starts = relation(spark, sf_dir, "artifacts").where("key % 97 = 1").selectExpr("key AS start", "key")
+    starts = relation(spark, sf_dir, "artifacts").where("key % 20 = 0").selectExpr("key AS start", "key")
     return store.dependents(relation(spark, sf_dir, "deps"), starts)
 
 
