@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
-from ..lineage import cut_lineage, shared_dir, shared_path  # noqa: F401
+from ..lineage import cut_lineage, qualified, release, scratch, shared_dir, shared_path  # noqa: F401
 
 #: One word after A-Z are lower-cased; written for the text before lower-casing.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -19,9 +20,23 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def column(name: str) -> Column:
+    """A column by its whole name, whatever characters are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole_row(df: DataFrame) -> Column:
+    return F.struct(*[column(c).alias(c) for c in df.columns])
+
+
+def schema_of(name: str, kind: DataType, rest: str) -> StructType:
+    """A column of a given type, then those of a DDL string. Names in nested types can't be spelled in DDL, so the type is passed on."""
+    return StructType([StructField(name, kind), *StructType.fromDDL(rest).fields])
+
+
 def text_or_empty(col: str | Column) -> Column:
     """Null texts count as empty."""
-    col = F.col(col) if isinstance(col, str) else col
+    col = column(col) if isinstance(col, str) else col
     return F.coalesce(col.cast("string"), F.lit(""))
 
 

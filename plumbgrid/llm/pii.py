@@ -1,4 +1,8 @@
-"""Personal data: patterns propose spans, checksums confirm them, words nearby adjust a score.
+"""Personal data: patterns propose spans, checksums confirm them, words nearby (on both sides) adjust a score.
+
+An account number (iban) has its country's length, blanks between its characters not counted, and passes mod 97; a
+social security number (ssn) has no area of 000, 666 or 9xx, no group 00 and no serial 0000, and needs a word of its
+kind within `CONTEXT` characters before or behind it.
 
 DataFrame functions only. The patterns are written without loops over groups, which Java's matcher runs by
 recursion, so that very long runs can't overflow its stack; each note says why the rewritten pattern finds the
@@ -10,8 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import load, text_or_empty
-from .spans import before, digest, gaps, located, matches
+from .common import column, load, text_or_empty
+from .spans import after, before, digest, gaps, located, matches
 
 #: Stands for a dot that no label follows; the private character itself is replaced in texts first.
 _DOT, _OTHER = "\uE000", "\uE001"
@@ -22,8 +26,16 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 #: After separators that don't stand between two digits became _OTHER, a run of digits and separators is a whole match.
 CARD = r"(?<![0-9\x20-])[0-9\x20-]{14,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
-SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+#: The length of account numbers by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_BY_LENGTH = "|".join(f"(?:{'|'.join(countries.split())})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for n, countries in IBAN_LENGTHS.items())
+IBAN = rf"(?<![A-Za-z0-9])(?:{_BY_LENGTH})(?![A-Za-z0-9])"
+SSN = r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"
 
 #: Kinds in their order, with the score of a confirmed span and the words that raise it.
 KINDS = [
@@ -32,7 +44,7 @@ KINDS = [
     ("card", 0.80, r"(?i)card|visa|master|credit|karte|carte|tarjeta|payment"),
     ("phone", 0.70, r"(?i)phone|call|tel|mobile|fax|telefon"),
     ("iban", 0.90, r"(?i)iban|account|bank|konto|compte|cuenta"),
-    ("ssn", 0.30, r"(?i)ssn|social|security|tax"),
+    ("ssn", 0.30, r"(?i)\b(?:ssn|social|security|tax)\b"),
 ]
 CONTEXT = 48
 RAISE = 0.1
@@ -74,15 +86,15 @@ def _confirmed(kind: str, hit: Column) -> Column:
         return F.length(digits).between(10, 15)
     if kind == "iban":
         code = F.replace(hit, F.lit(" "), F.lit(""))
-        return F.when(F.length(code).between(15, 34), mod97(code)).otherwise(F.lit(False))
+        return mod97(code)
     return F.lit(True)
 
 
 def _kept(rank: int, kind: str, score: float, words: str) -> Column:
-    """The confirmed spans of one kind, scored by the words before them."""
+    """The confirmed spans of one kind, scored by the words around them."""
 
     def span(s: Column) -> Column:
-        near = before(F.col("__text"), s["start"], CONTEXT).rlike(words)
+        near = before(F.col("__text"), s["start"], CONTEXT).rlike(words) | after(F.col("__text"), s["end"], CONTEXT).rlike(words)
         scored = F.when(near, F.lit(score + (0.4 if kind in NEEDS_CONTEXT else RAISE))).otherwise(F.lit(score))
         return F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind"), scored.alias("score"), s["hit"].alias("hit"))
 
@@ -99,7 +111,7 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     empty; repeated rows are kept; other columns of `docs` are ignored, whatever their names.
     """
     t = F.col("__text")
-    rows = docs.select(F.col(id_col).alias("__id"), text_or_empty(text_col).alias("__text"))
+    rows = docs.select(column(id_col).alias("__id"), text_or_empty(text_col).alias("__text"))
     has_at, long_number = t.contains("@"), t.rlike(r"[0-9](?:[\x20-]?[0-9]){13}")
     rows = rows.select(
         "*",

@@ -43,6 +43,11 @@ def before(text: Column, start: Column, width: int) -> Column:
     return text.substr((F.greatest(start - width, F.lit(0)) + 1).cast("int"), F.least(start, F.lit(width)).cast("int"))
 
 
+def after(text: Column, end: Column, width: int) -> Column:
+    """Up to `width` characters that stand behind a span."""
+    return text.substr((end + 1).cast("int"), F.lit(width))
+
+
 def digest(spans: Column) -> Column:
     """'kind:start:end' of spans (structs with start, rank, end, kind), by start, then rank."""
     return F.concat_ws(",", F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
