@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licenses import PHRASES, TEMPLATES, template_words
+from .licenses import LONGER, PHRASES, TEMPLATES, notice_words, template_words
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
@@ -14,20 +14,29 @@ def _list(words) -> str:
 
 
 def licenses(threshold: float = 0.8) -> str:
+    """Every word as the start of a block, without prefix, length or positional filter."""
+    import math
+
     phrases = ", ".join(f"('{label}', {_list(p.split())})" for label, p in PHRASES)
-    templates = ", ".join(f"('{label}', {_list(words)})" for (label, _), words in zip(TEMPLATES, template_words(TEMPLATES), strict=True))
+    rows = []
+    for k, (t, words) in enumerate(zip(TEMPLATES, template_words(TEMPLATES), strict=True)):
+        size = len(notice_words(t.notice))
+        rows.append(f"({k}, '{t.label}', {_list(words)}, {_list(t.must)}::VARCHAR[], {_list(t.never)}::VARCHAR[], {size + math.floor(size * LONGER)}, {math.ceil(threshold * len(words) - 1e-9)})")
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
 places AS (SELECT doc_id, label, i - 1 AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d) t, (VALUES {phrases}) AS p(label, phrase) WHERE w[i:i + len(phrase) - 1] = phrase),
 base AS (SELECT doc_id, count(*) AS n, min(word) AS a, max(word) AS b, list(DISTINCT label) AS labels FROM places GROUP BY doc_id),
-lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM d),
-sets AS (SELECT doc_id, n, list_distinct(regexp_extract_all(lower(line), {_WORD})) AS w FROM lines),
-blocks AS (SELECT doc_id, n, label, len(list_intersect(w, words)) * 1e0 / len(words) AS c FROM sets, (VALUES {templates}) AS t(label, words) WHERE len(list_intersect(w, words)) >= {threshold} * len(words) - 1e-9),
-more AS (SELECT doc_id, max(c) AS c, count(DISTINCT n) AS n, list(DISTINCT label) AS labels FROM blocks GROUP BY doc_id)
+t AS (SELECT * FROM (VALUES {", ".join(rows)}) AS t(k, label, words, must, never, size, need)),
+pairs AS (SELECT doc_id, w, t.* FROM (SELECT doc_id, regexp_extract_all(lower(text), {_WORD}) AS w FROM d) x, t WHERE len(list_intersect(words, w)) >= need),
+spelled AS (SELECT doc_id, k, label, words, must, never, size, need, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM pairs),
+own AS (SELECT *, sum(CASE WHEN list_contains(never, word) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, k ORDER BY i) AS part FROM spelled WHERE list_contains(words, word) OR list_contains(never, word)),
+held AS (SELECT doc_id, k, label, i, size, need, must, len(words) AS m, list_distinct(list(word) OVER (PARTITION BY doc_id, k, part ORDER BY i RANGE BETWEEN CURRENT ROW AND size - 1 FOLLOWING)) AS s FROM own WHERE NOT list_contains(never, word)),
+blocks AS (SELECT *, len(s) * 1e0 / m AS c, lag(i) OVER (PARTITION BY doc_id, k ORDER BY i) AS before FROM held WHERE len(s) >= need AND list_has_all(s, must)),
+more AS (SELECT doc_id, max(c) AS c, sum(CASE WHEN before IS NULL OR i - before >= size THEN 1 ELSE 0 END) AS n, list(DISTINCT label) AS labels FROM blocks GROUP BY doc_id)
 SELECT d.doc_id AS doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(base.n, 0) AS n_base, a AS first_word, b AS last_word,
   coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ',') AS labels,
-  CASE WHEN base.n > 0 THEN 1e0 ELSE coalesce(c, 0e0) END AS score, coalesce(more.n, 0) AS n_blocks
+  CASE WHEN base.n > 0 THEN 1e0 ELSE coalesce(c, 0e0) END AS score, CAST(coalesce(more.n, 0) AS BIGINT) AS n_blocks
 FROM d LEFT JOIN base ON base.doc_id = d.doc_id LEFT JOIN more ON more.doc_id = d.doc_id"""
 
 
