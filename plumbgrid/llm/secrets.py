@@ -1,9 +1,13 @@
 """Secrets: known shapes, and strings that a battery of randomness tests takes for random.
 
-DataFrame functions only. A candidate is a run of 16 or more of ``[A-Za-z0-9+/_-]``. Its encoding is inferred from the characters it uses; that gives an alphabet of K symbols. Three tests
-hold it against "drawn evenly and independently from the alphabet":
-
-* chi-squared of its symbol counts (Wilson-Hilferty), upper tail;
+DataFrame functions only. A candidate is a run of 16 or more of ``[A-Za-z0-9+/_-]``, but not one of 16 to 19 letters
+of one case, which these tests can't tell from a long word. Its encoding is inferred from
+the characters it uses; that gives an alphabet of K symbols. Three tests hold it against "drawn evenly and
+independently from the alphabet":
+
+* chi-squared of its symbol counts, upper tail: by Wilson and Hilferty, and for strings shorter than the alphabet,
+  where the expected counts are under 1, by the number of pairs of equal symbols, which is the same statistic and
+  nearly Poisson (in simulations at a level of 1/60 between 0.011 and 0.019 of random strings are below it);
 * runs above and below the alphabet's middle (Wald-Wolfowitz), two-sided;
 * lag-1 serial correlation of the symbol numbers, two-sided.
 
@@ -12,8 +16,8 @@ others crowd at 0. Per encoding and class of length, Storey's estimate from the
 how many candidates are random, and so the share of false discoveries among those accepted at each level; the
 least level with a share of ``fdr`` or less is taken. Where fewer than ``FEW`` candidates of a class reach ``ALONE``,
 the estimate says nothing (half of all lone keys have no p-value above one half): there the p-value alone decides,
-at ``ALONE``, and the share of false discoveries is not controlled. The table it is read from has encodings x
-lengths x 100 rows whatever the input.
+at ``ALONE``, which keeps 0.97 of random strings however few they are, and the share of false discoveries is
+not controlled. The table it is read from has encodings x lengths x 100 rows whatever the input.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import load, text_or_empty
+from .common import column, cut_lineage, load, text_or_empty
 from .spans import digest, gaps, located, matches
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -29,7 +33,8 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS = r"AKIA[A-Z0-9]{12,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
 _RUN = r"[A-Za-z0-9+/_-]"
-RANDOM = rf"(?<!{_RUN}){_RUN}{{16,}}+"
+#: Runs of 16 to 19 letters of one case are left out: these tests can't tell them from long words.
+RANDOM = rf"(?<!{_RUN})(?!(?:[a-z]{{16,19}}|[A-Z]{{16,19}})(?!{_RUN})){_RUN}{{16,}}+"
 
 #: Encodings by the characters they use, in the order of inference, with their alphabets.
 ENCODINGS = [
@@ -43,10 +48,8 @@ ENCODINGS = [
 LENGTHS = [16, 20, 24, 32, 48, 64, 128]
 LEVELS = [0.01, 0.02, 0.05, 0.1, 0.2, 0.3]
 FDR = 0.05
-#: (encoding, class of length) in which long words reach ALONE: runs of 16 to 19 letters of one case need the estimate.
-WORDS = {(2, 0)}
 #: Of a class with fewer than FEW candidates at a p-value of ALONE or more, those are accepted.
-FEW, ALONE = 20, 0.05
+FEW, ALONE = 20, 0.03
 _SPANS = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
 
 
@@ -78,6 +81,11 @@ def battery(code: Column, alphabet: str) -> Column:
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
     squares = total(F.transform(numbers, lambda x: x * x))
     p_serial = F.when(squares > 0, _two_sided(total(later) / F.greatest(squares, F.lit(1e-9)) * F.sqrt(n.cast("double")))).otherwise(F.lit(0.0))
+    # pairs of equal symbols against Poisson: the tail of a gamma distribution, by the same approximation
+    pairs = F.greatest((chi + n) * n / (2.0 * k) - n / 2.0, F.lit(0.5))
+    expected = (n * (n - 1)).cast("double") / (2 * k)
+    z_pairs = -F.sqrt(pairs) * 3 * (F.cbrt(expected / pairs) - 1 + F.lit(1 / 9) / pairs)
+    z_chi = F.when(n < k, F.when(pairs > 0.6, z_pairs).otherwise(F.lit(-30.0))).otherwise(z_chi)
     p_chi = _upper_tail(F.least(F.greatest(z_chi, F.lit(-30.0)), F.lit(30.0)))
     return F.least(F.lit(1.0), F.least(p_chi, p_runs, p_serial) * 3)
 
@@ -95,22 +103,37 @@ def _judged(hit: Column) -> Column:
     return F.struct(enc.alias("enc"), size.alias("len"), p.alias("p"))
 
 
-def _candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    t = F.col("__text")
-    rows = docs.select(F.col(id_col).alias("__id"), text_or_empty(text_col).alias("__text"))
-    return rows.select("*", matches(t, RANDOM, t.rlike(f"{_RUN}{{16}}")).alias("__m_random"))
+def _kept(rank: int, kind: str, keep) -> Column:
+    spans = located(F.col(f"__m_{kind}"), F.col(f"__g_{kind}"))
+    spans = F.filter(spans, keep) if keep else spans
+    spans = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind")))
+    return F.when(F.size(F.col(f"__m_{kind}")) > 0, spans).otherwise(F.array().cast(_SPANS))
 
 
-def levels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = FDR) -> dict[tuple[int, int], float]:
-    """The level of acceptance by (encoding, class of length); absent where no level keeps the share of false discoveries."""
-    judged = _candidates(docs, id_col, text_col).select(F.explode("__m_random").alias("hit")).select(_judged(F.col("hit")).alias("j"))
-    bins = judged.groupBy(F.col("j.enc").alias("enc"), F.col("j.len").alias("len"), F.least(F.floor(F.col("j.p") * 100), F.lit(99)).cast("int").alias("bin")).count().collect()
+def judged_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of `docs`, from one pass over the texts: __id, base (spans of the known shapes), random (array<struct<start, end, enc, len, p>> of all candidates)."""
+    t = F.col("__text")
+    rows = docs.select(column(id_col).alias("__id"), text_or_empty(text_col).alias("__text"))
+    plan = {"assign": (ASSIGN, t.rlike(ASSIGN)), "access": (ACCESS, t.contains("AKIA")), "hex": (HEX, t.rlike("[0-9a-f]{32}")), "random": (RANDOM, t.rlike(RANDOM))}
+    rows = rows.select("*", *[matches(t, p, when).alias(f"__m_{k}") for k, (p, when) in plan.items()], matches(t, ASSIGN, plan["assign"][1], 1).alias("__values"))
+    rows = rows.select("*", *[gaps(t, p, F.col(f"__m_{k}")).alias(f"__g_{k}") for k, (p, _) in plan.items()])
+    keep = {"assign": lambda s: F.length(F.get(F.col("__values"), s["at"])) >= 8}
+    base = F.concat(*[_kept(rank, kind, keep.get(kind)) for rank, kind in enumerate(["assign", "access", "hex"])])
+    judged = F.transform(located(F.col("__m_random"), F.col("__g_random")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), _judged(s["hit"]).alias("j")))
+    judged = F.transform(judged, lambda s: F.struct(s["start"], s["end"], s["j"]["enc"].alias("enc"), s["j"]["len"].alias("len"), s["j"]["p"].alias("p")))
+    none = F.array().cast("array<struct<start:bigint,end:bigint,enc:int,len:int,p:double>>")
+    return rows.select("__id", base.alias("base"), F.when(F.size("__m_random") > 0, judged).otherwise(none).alias("random"))
+
+
+def levels(judged: DataFrame, fdr: float = FDR) -> dict[tuple[int, int], float]:
+    """The level of acceptance by (encoding, class of length) of `judged_spans`; absent where no level keeps the share of false discoveries."""
+    bins = judged.select(F.explode("random").alias("j")).groupBy(F.col("j.enc").alias("enc"), F.col("j.len").alias("len"), F.least(F.floor(F.col("j.p") * 100), F.lit(99)).cast("int").alias("bin")).count().collect()
     tables: dict[tuple[int, int], list[int]] = {}
     for enc, size, b, n in bins:
         tables.setdefault((enc, size), [0] * 100)[b] += n
     out = {}
     for key, table in tables.items():
-        if key not in WORDS and sum(table[round(ALONE * 100) :]) < FEW:
+        if sum(table[round(ALONE * 100) :]) < FEW:
             out[key] = ALONE
             continue
         random = 2 * sum(table[50:])
@@ -122,44 +145,21 @@ def levels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr:
     return out
 
 
-def _accepted_by(accepted: dict[tuple[int, int], float]):
-    """The test of a span against the level of its encoding and length."""
-    if not accepted:
-        return lambda s: F.lit(False)
-    level = F.create_map(*[F.lit(x) for (enc, size), v in sorted(accepted.items()) for x in (enc * 100 + size, v)])
-
-    def test(s: Column) -> Column:
-        return F.exists(F.array(_judged(s["hit"])), lambda j: j["p"] >= F.coalesce(F.try_element_at(level, j["enc"] * 100 + j["len"]), F.lit(2.0)))
-
-    return test
-
-
-def _kept(rank: int, kind: str, keep) -> Column:
-    spans = located(F.col(f"__m_{kind}"), F.col(f"__g_{kind}"))
-    spans = F.filter(spans, keep) if keep else spans
-    spans = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind")))
-    return F.when(F.size(F.col(f"__m_{kind}")) > 0, spans).otherwise(F.array().cast(_SPANS))
-
-
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = FDR) -> DataFrame:
     """One row per row of `docs`: its id and `spans`, array<struct<start, rank, end, kind>>, kinds assign, access, hex, random.
 
     Starts and ends count code points, ends are exclusive. A random span may stand inside one of another kind.
-    Null texts count as empty; repeated rows are kept; other columns of `docs` are ignored.
+    Null texts count as empty; repeated rows are kept; other columns of `docs` are ignored. The spans of all
+    candidates, a small part of the texts, are kept as a table of the shared folder between the two steps.
     """
-    accepted = levels(docs, id_col, text_col, fdr)
-    t = F.col("__text")
-    rows = _candidates(docs, id_col, text_col)
-    plan = {"assign": (ASSIGN, t.rlike(ASSIGN)), "access": (ACCESS, t.contains("AKIA")), "hex": (HEX, t.rlike("[0-9a-f]{32}"))}
-    rows = rows.select(
-        "*",
-        *[matches(t, p, when).alias(f"__m_{k}") for k, (p, when) in plan.items()],
-        matches(t, ASSIGN, plan["assign"][1], 1).alias("__values"),
-    )
-    rows = rows.select("*", *[gaps(t, p, F.col(f"__m_{k}")).alias(f"__g_{k}") for k, p in [*((k, p) for k, (p, _) in plan.items()), ("random", RANDOM)]])
-    keep = {"assign": lambda s: F.length(F.get(F.col("__values"), s["at"])) >= 8, "random": _accepted_by(accepted)}
-    found = [_kept(rank, kind, keep.get(kind)) for rank, kind in enumerate([*plan, "random"])]
-    return rows.select("__id", F.concat(*found).alias("spans"))
+    judged = cut_lineage(judged_spans(docs, id_col, text_col), "secrets")
+    accepted = levels(judged, fdr)
+    if not accepted:
+        return judged.select("__id", F.col("base").alias("spans"))
+    level = F.create_map(*[F.lit(x) for (enc, size), v in sorted(accepted.items()) for x in (enc * 100 + size, v)])
+    random = F.filter("random", lambda s: s["p"] >= F.coalesce(F.try_element_at(level, s["enc"] * 100 + s["len"]), F.lit(2.0)))
+    random = F.transform(random, lambda s: F.struct(s["start"].alias("start"), F.lit(3).alias("rank"), s["end"].alias("end"), F.lit("random").alias("kind")))
+    return judged.select("__id", F.concat("base", random).alias("spans"))
 
 
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = FDR) -> DataFrame:

@@ -255,6 +255,58 @@ def test_a_lone_key_is_found_whatever_stands_beside_it(spark):
         assert {x.doc_id for x in secrets.secret_scan(docs).collect() if x.n_random} == {0}
 
 
+def battery_by_hand(code, alphabet):
+    """The combined p-value by the normal distribution itself."""
+    from math import erf, sqrt
+
+    upper = lambda z: 0.5 * (1 - erf(max(-30, min(30, z)) / sqrt(2)))
+    k, n = len(alphabet), len(code)
+    counts = [code.count(c) for c in alphabet]
+    if n < k:
+        pairs, expected = sum(c * (c - 1) / 2 for c in counts), n * (n - 1) / 2 / k
+        p = [upper(-3 * sqrt(pairs) * ((expected / pairs) ** (1 / 3) - 1 + 1 / (9 * pairs))) if pairs else 1.0]
+    else:
+        chi = sum((c - n / k) ** 2 / (n / k) for c in counts)
+        p = [upper(((chi / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / sqrt(2 / (9 * (k - 1))))]
+    half = [alphabet.index(c) >= k // 2 for c in code]
+    ones, runs = sum(half), 1 + sum(a != b for a, b in zip(half, half[1:], strict=False))
+    mean = 2 * ones * (n - ones) / n + 1
+    spread = (mean - 1) * (mean - 2) / (n - 1)
+    p.append(2 * upper(abs(runs - mean) / sqrt(spread)) if spread > 0 else 0.0)
+    v = [alphabet.index(c) - (k - 1) / 2 for c in code]
+    squares = sum(x * x for x in v)
+    p.append(2 * upper(abs(sum(a * b for a, b in zip(v, v[1:], strict=False))) / squares * sqrt(n)) if squares else 0.0)
+    return min(1.0, 3 * min(p))
+
+
+@pytest.mark.parametrize("encoding", secrets.ENCODINGS, ids=lambda e: e[0])
+def test_battery(spark, encoding):
+    import random
+
+    r, alphabet = random.Random(3), encoding[2]
+    codes = ["".join(r.choices(alphabet, k=n)) for n in (16, 20, 31, 40, 64, 128) for _ in range(60)]
+    codes += [alphabet[:16] * 3, alphabet[0] * 20, (alphabet[0] + alphabet[-1]) * 12, "".join(r.choices(alphabet[: len(alphabet) // 2], k=48))]
+    got = spark.createDataFrame(list(enumerate(codes)), "i long, c string")
+    got = {x.i: x.p for x in got.select("i", secrets.battery(got.c, alphabet).alias("p")).collect()}
+    assert [got[i] for i in range(len(codes))] == pytest.approx([battery_by_hand(c, alphabet) for c in codes], abs=2e-3)
+    # a lone random string is accepted at ALONE; the others never are
+    assert sum(got[i] >= secrets.ALONE for i in range(360)) >= 0.92 * 360 and max(got[i] for i in range(360, 364)) < secrets.ALONE
+
+
+@pytest.mark.parametrize("n", [1, 5, 50])
+def test_recall_of_few_secrets(spark, n):
+    """Corpora with n random keys each, told apart by the length of the keys' class."""
+    import random
+
+    r, sizes, found = random.Random(n), [16, 20, 24, 32, 48, 64], 0
+    alphabet, corpora = secrets.ENCODINGS[-1][2], {1: 5, 5: 1, 50: 1}[n]
+    for _ in range(corpora):
+        made = ["".join(r.choices(alphabet, k=size)) for size in sizes for _ in range(n)]
+        docs = spark.createDataFrame([(k, f"see {t} here, and some_plain_words/in/a/path{k}") for k, t in enumerate(made)], "doc_id long, text string")
+        found += sum(x.n_random > 0 for x in secrets.secret_scan(docs).collect())
+    assert found >= 0.9 * corpora * len(sizes) * n
+
+
 @pytest.mark.parametrize("alphabet", ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"])
 def test_random_strings_of_digits_or_letters_only(spark, alphabet):
     import random
