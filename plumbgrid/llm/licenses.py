@@ -120,6 +120,7 @@ def _candidates(texts: DataFrame, order: list[str], index: list[tuple]) -> DataF
     keys, reach = sorted({row[2] for row in index}), max(row[6] for row in index)
     small = texts.sparkSession.createDataFrame(index, _INDEX)
     rows = texts.select("__id", F.xxhash64("__text").alias("__hash"), F.array_remove(words_of(F.col("__text")), "").alias("tokens"))
+    rows = rows.where(F.arrays_overlap("tokens", F.array(*map(F.lit, keys))))
     # rows of one text only: what stands around a prefix word, in reach of the longest block
     probes = rows.select("__id", "__hash", "tokens", F.posexplode("tokens").alias("p", "word")).where(F.col("word").isin(keys))
     first = F.greatest(F.col("p") - (reach - 1), F.lit(0))
