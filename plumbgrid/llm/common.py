@@ -34,6 +34,21 @@ def schema_of(name: str, kind: DataType, rest: str) -> StructType:
     return StructType([StructField(name, kind), *StructType.fromDDL(rest).fields])
 
 
+def file_system(path: str):
+    """The Arrow file system and the path on it of a URI, on the driver or in a task, without a JVM."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri("s3://" + path.split("://", 1)[1] if path.startswith(("s3a://", "s3n://")) else path)
+
+
+def open_file(path: str, mode: str = "rb"):
+    store, place = file_system(path)
+    if mode == "rb":
+        return store.open_input_file(place)
+    store.create_dir(place.rsplit("/", 1)[0], recursive=True)
+    return store.open_output_stream(place)
+
+
 def text_or_empty(col: str | Column) -> Column:
     """Null texts count as empty."""
     col = column(col) if isinstance(col, str) else col

@@ -17,9 +17,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, LongType
 
 from . import pfor
-from .common import cut_lineage, load, shared_path
+from .common import column, cut_lineage, file_system, load, qualified, schema_of, shared_path
 from .tokenizing import VOCABULARY, definition, tokenizer
 
 END = 2
@@ -83,9 +84,8 @@ class Encoder:
         self.ids = lists.take(pa.array(at)).flatten().to_numpy()
         self.words, self.sizes = self.words.take(pa.array(at)), self.sizes[at]
 
-    def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        """The ids of each text; the words of all are told apart at once, and each different one is looked up once."""
-        texts = pc.fill_null(texts, "")
+    def _places_in(self, texts: pa.Array):
+        """Where the parts of texts stand in the cache: (places of all parts, first part of each text, sizes by place, ids by place, texts that go another way)."""
         whole = np.zeros(len(texts), bool)
         for special in self.special:
             whole |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
@@ -112,18 +112,30 @@ class Encoder:
             place[missing] = self._places(distinct.filter(pa.array(missing)))
         place[unsafe] = 0
         self._part(set(starts).union(*apart.values()))
-        known = self.known
         # the lists of the cache, then of the texts' first words
-        table = [known[w] for w in starts]
+        table = [self.known[w] for w in starts]
         sizes = np.concatenate([self.sizes, np.fromiter(map(len, table), np.int64, len(table)) // 4])
-        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(np.concatenate([self.ids, np.frombuffer(b"".join(table), "<u4")])))
         at = place[at]
         at[first] = len(self.sizes) + np.arange(len(first))
+        return at, first, sizes, table, apart
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; the words of all are told apart at once, and each different one is looked up once."""
+        at, first, sizes, table, apart = self._places_in(pc.fill_null(texts, ""))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(np.concatenate([self.ids, np.frombuffer(b"".join(table), "<u4")])))
         flat = lists.take(pa.array(at)).flatten().to_numpy()
-        edges = np.cumsum(sizes[at])[first + counts - 1].tolist()
+        edges = np.add.reduceat(sizes[at], first).cumsum().tolist() if len(first) else []
         out = [flat[a:b] for a, b in zip([0, *edges], edges, strict=False)]
         for k, parts in apart.items():
-            out[k] = np.frombuffer(b"".join([known[p] for p in parts]), "<u4")
+            out[k] = np.frombuffer(b"".join([self.known[p] for p in parts]), "<u4")
+        return out
+
+    def count(self, texts: pa.Array) -> np.ndarray:
+        """How many ids each text has."""
+        at, first, sizes, _, apart = self._places_in(pc.fill_null(texts, ""))
+        out = np.add.reduceat(sizes[at], first) if len(first) else np.zeros(0, np.int64)
+        for k, parts in apart.items():
+            out[k] = sum(len(self.known[p]) for p in parts) // 4
         return out
 
     def _joined(self, text: str) -> list[str]:
@@ -151,19 +163,15 @@ def encoder(text: str) -> Encoder:
     return encoder.kept
 
 
-def _file(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path)
-
-
 def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", end: int = END, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Write the files to `folder` (a URI that all executors reach) and return the manifest: file, name, first ids, counts, place.
+    """Write the files to `folder` (a place that all executors reach) and return the manifest: file, name, counts.
 
+    A folder without a scheme lies on Spark's default file system.
     Ids ascend, nulls first; rows with one id are ordered by the hash of their text. Null texts hold the end id
     only. Texts are encoded whole; special strings inside them as the library does by default.
     """
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
+    folder = qualified(docs.sparkSession, folder)
+    rows = docs.select(column(id_col).alias("__id"), column(text_col).cast("string").alias("__text"))
     rows = rows.withColumn("__h", F.xxhash64("__text"))
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartitionByRange(parts, "__id", "__h").sortWithinPartitions("__id", "__h").select("__id", "__text")
@@ -174,7 +182,7 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
         from pyspark import TaskContext
 
         enc, part = encoder(shared.value), TaskContext.get().partitionId()
-        filesystem, root = _file(folder)
+        filesystem, root = file_system(folder)
         filesystem.create_dir(root, recursive=True)
         target, trial = f"{root}/tokens-{part:06d}.pfr", f"{root}/.{part:06d}-{uuid.uuid4().hex}"
         with filesystem.open_output_stream(trial) as sink:
@@ -193,19 +201,20 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
     return cut_lineage(rows.mapInArrow(write, "file long, name string, n_docs long, n_ids long"), "manifest")
 
 
-def read_token_files(manifest: DataFrame, folder: str, id_type: str = "long") -> DataFrame:
+def read_token_files(manifest: DataFrame, folder: str, id_type: DataType = LongType()) -> DataFrame:
     """One row per document from the files alone: id, start (ids of all documents before it), n_tokens, ids_crc32."""
     spark, placed, start = manifest.sparkSession, [], 0
+    folder = qualified(spark, folder)
     for _, name, n_docs, n_ids in sorted(map(tuple, manifest.collect())):
         placed += [(name, start)] if n_docs else []
         start += n_ids
-    schema = f"id {id_type}, start long, n_tokens long, ids_crc32 long"
+    schema = schema_of("id", id_type, "start long, n_tokens long, ids_crc32 long")
     if not placed:
         return spark.createDataFrame([], schema)
     frame = spark.createDataFrame(placed, "name string, start long").repartition(len(placed))
 
     def read(batches):
-        filesystem, root = _file(folder)
+        filesystem, root = file_system(folder)
         for batch in batches:
             for row in batch.to_pylist():
                 path = f"{root}/{row['name']}"
@@ -235,7 +244,7 @@ def token_output(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     folder = folder or shared_path(docs.sparkSession, "tokens")
     manifest = write_token_files(docs, folder, id_col, text_col, end, vocabulary)
-    return read_token_files(manifest, folder, docs.schema[id_col].dataType.simpleString()).withColumnRenamed("id", id_col)
+    return read_token_files(manifest, folder, docs.schema[id_col].dataType).withColumnRenamed("id", id_col)
 
 
 def op3_token_files(spark, sf_dir):
