@@ -2,22 +2,24 @@
 
 Each task builds suffix arrays over shards of its texts: their words, numbered by the benchmark's vocabulary (0
 for all other words, which match nothing), with a 0 after each text. The suffixes are ordered by prefix doubling
-in steps of k words, k being as many numbers as fit 62 bits, until the order covers a whole window. Every window
-of every test item is then looked up by binary search, step by step, which narrows an interval of the suffix
-array: the places where the window stands. Windows that follow each other in item and text form one longest
-verbatim match.
+in steps of k words, k being as many numbers as fit 62 bits, until the order covers a whole window. Every suffix
+of every test item is then looked up by binary search of its first window, step by step, which narrows an interval of
+the suffix array: the places where the window stands. Windows that follow each other in the text form one longest
+match.
 
-The benchmark is sent to the tasks in blocks of bounded size, one pass over the texts for each, whatever its size.
+The benchmark comes to the tasks in blocks of bounded size; a shard is held against one block after the other.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, load
+from .common import column, load, open_file, schema_of, shared_path, whole_row
 
 WINDOW = 13
 SHARD_WORDS = 1 << 20
@@ -96,94 +98,129 @@ class SuffixArray:
 
 
 class Benchmark:
-    """Items and their windows, grouped by the windows' length (shorter than `window` only for short items)."""
+    """Items and their different windows, grouped by length (shorter than `window` only for short items).
+
+    A window that several items hold, or one item more than once, is one query: the places where different windows of
+    one length stand are disjoint, so that a text has at most as many matches as words, whatever repeats.
+    """
 
     def __init__(self, items: list[tuple], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
         self.names = [name for name, _ in items]
         self.window = window
-        groups: dict[int, list[tuple[int, int, list[int]]]] = {}
+        groups: dict[int, dict[tuple, dict[int, int]]] = {}
         for k, (_, text) in enumerate(items):
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words((text or "").encode())]
             size = min(window, len(ids))
+            group = groups.setdefault(size, {}) if size else {}
             for at in range(len(ids) - size + 1 if size else 0):
-                groups.setdefault(size, []).append((k, at, ids[at : at + size]))
-        self.groups = {size: (np.array([x[0] for x in g]), np.array([x[1] for x in g]), np.array([x[2] for x in g], np.int64)) for size, g in groups.items()}
+                group.setdefault(tuple(ids[at : at + size]), {}).setdefault(k, at)
         self.base = len(self.vocabulary) + 1
-
-    def matches(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(item, place in the item, place in ids, words) of every occurrence of every window."""
-        found = [(np.zeros(0, np.int64),) * 4]
+        #: by length: the windows, and for each of them, one after the other, its items and where it first stands in each
+        self.groups = {}
+        for size, group in groups.items():
+            owners = [list(o.items()) for o in group.values()]
+            flat = np.array([x for o in owners for x in o], np.int64).reshape(-1, 2)
+            self.groups[size] = (np.array(list(group), np.int64), np.cumsum([0, *map(len, owners)]), flat[:, 0], flat[:, 1])
+
+    def matches(self, ids: np.ndarray, at_once: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(item, place in the item, place in ids, words): the longest runs of ids each window of which stands in the item, by item and place."""
+        found = [(np.zeros(0, np.int64),) * 5]
         if len(ids):
             array = SuffixArray(ids, self.base, min(self.window, max(self.groups, default=1)))
-            for size, (item, at, queries) in self.groups.items():
+            for size, (queries, starts, item, at) in self.groups.items():
                 lo, hi = array.find(queries)
                 n = hi - lo
-                if not n.any():
-                    continue
                 row = np.repeat(np.arange(len(n)), n)
                 place = array.order[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-                found.append((item[row], at[row], place, np.full(len(row), size)))
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
-
-
-def _longest(item, at, place, size):
-    """Windows that follow each other in item and text, as (item, place in the item, place in the text, words)."""
-    order = np.lexsort((place, place - at, item))
-    item, at, place, size = item[order], at[order], place[order], size[order]
+                # occurrences by place, each with the items of its window; a part of bounded size at a time
+                order = np.argsort(place)
+                row, place = row[order], place[order]
+                many = starts[row + 1] - starts[row]
+                ends = np.cumsum(many)
+                begin = 0
+                while begin < len(row):
+                    stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + at_once, "right")))
+                    w, k = row[begin:stop], many[begin:stop]
+                    of = np.repeat(starts[w], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+                    p = np.repeat(place[begin:stop], k)
+                    found.append(_longest(item[of], at[of], p, *[np.full(len(of), size)] * 2))
+                    begin = stop
+        return _longest(*(np.concatenate(x) for x in zip(*found, strict=True)))[:4]
+
+
+def _longest(item, at, place, size, window):
+    """Runs of one item, each of which begins where the window after the last one of the run before it would, joined."""
+    order = np.lexsort((place, item))
+    item, at, place, size, window = item[order], at[order], place[order], size[order], window[order]
+    stop = place + size
     first = np.ones(len(item), bool)
-    first[1:] = (item[1:] != item[:-1]) | (place[1:] - at[1:] != place[:-1] - at[:-1]) | (place[1:] != place[:-1] + 1)
+    first[1:] = (item[1:] != item[:-1]) | (place[1:] != (stop - window)[:-1] + 1)
     starts = np.flatnonzero(first)
-    last = np.append(starts[1:], len(item)) - 1
-    return item[starts], at[starts], place[starts], place[last] - place[starts] + size[last] if len(starts) else place[starts]
+    last = np.append(starts[1:], len(item))[: len(starts)] - 1
+    return item[starts], at[starts], place[starts], stop[last] - place[starts], window[starts]
 
 
-_MATCH = "array<struct<item:int,item_word:int,word:int,words:int>>"
+_MATCH = pa.list_(pa.struct([("item", pa.string()), *((c, pa.int32()) for c in ("item_word", "word", "words"))]))
+_SCANNED = "n_words long, n_hit long, items array<string>, matches array<struct<item:string,item_word:int,word:int,words:int>>"
 
 
-def _scan(rows: DataFrame, items: list[tuple], window: int, shard_words: int) -> DataFrame:
-    """doc, h (hash of the text), n_words, matches of each row of `rows` (doc, text as binary)."""
-    shared = rows.sparkSession.sparkContext.broadcast(items)
-    kind = rows.schema["doc"].dataType.simpleString()
+def _scan(rows: DataFrame, blocks: list, window: int, shard_words: int) -> DataFrame:
+    """doc, then _SCANNED, of each row of `rows` (doc, text as binary). `blocks` loads each block of the benchmark in turn."""
 
     def run(batches):
-        bench = Benchmark(shared.value, window)
-        get = bench.vocabulary.get
+        held = {}
+
+        def block(k):  # one block at a time stays prepared
+            if k not in held:
+                held.clear()
+                held[k] = Benchmark(blocks[k](), window)
+            return held[k]
 
-        def shard(docs, hashes, lengths, ids):
-            flat = np.array(ids, np.int64)
+        def shard(docs, texts):
+            lengths = [len(t) for t in texts]
             starts = np.cumsum([0, *[n + 1 for n in lengths]])
-            item, at, place, size = _longest(*bench.matches(flat))
-            owner = np.searchsorted(starts, place, "right") - 1
-            order = np.lexsort((item, place, owner))
-            out = [[] for _ in lengths]
-            for k, i, a, p, s in zip(owner[order].tolist(), item[order].tolist(), at[order].tolist(), (place - starts[owner])[order].tolist(), size[order].tolist(), strict=True):
-                out[k].append({"item": i, "item_word": a, "word": p, "words": s})
-            struct = pa.list_(pa.struct([(c, pa.int32()) for c in ("item", "item_word", "word", "words")]))
-            return pa.RecordBatch.from_arrays([pa.concat_arrays(docs), pa.concat_arrays(hashes), pa.array(lengths, pa.int64()), pa.array(out, struct)], names=["doc", "h", "n_words", "matches"])
-
-        docs, hashes, lengths, ids = [], [], [], []
+            out, names = [[] for _ in texts], [set() for _ in texts]
+            for b in range(len(blocks)):
+                bench = block(b)
+                get = bench.vocabulary.get
+                flat = np.fromiter((x for t in texts for x in (*(get(w, 0) for w in t), 0)), np.int64, int(starts[-1]))
+                item, at, place, size = bench.matches(flat)
+                owner = np.searchsorted(starts, place, "right") - 1
+                for k, i, a, p, n in zip(owner.tolist(), item.tolist(), at.tolist(), (place - starts[owner]).tolist(), size.tolist(), strict=True):
+                    out[k].append({"item": bench.names[i], "item_word": a, "word": p, "words": n})
+                    names[k].add(bench.names[i])
+            hit = []
+            for found in out:
+                found.sort(key=lambda m: (m["word"], m["words"], m["item"] or ""))
+                n = end = 0
+                for m in found:  # in the order of their starts, each adding what it covers beyond those before
+                    stop = m["word"] + m["words"]
+                    n, end = n + max(0, stop - max(end, m["word"])), max(end, stop)
+                hit.append(n)
+            items = [sorted(x for x in s if x is not None) for s in names]
+            columns = [pa.concat_arrays(docs), pa.array(lengths, pa.int64()), pa.array(hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(out, _MATCH)]
+            return pa.RecordBatch.from_arrays(columns, names=["doc", "n_words", "n_hit", "items", "matches"])
+
+        docs, texts, size = [], [], 0
         for batch in batches:
             for k in range(batch.num_rows):
-                text = batch.column(2)[k].as_py()
-                found = words(text) if text else []
-                ids.extend([get(w, 0) for w in found])
-                ids.append(0)
-                lengths.append(len(found))
+                text = batch.column(1)[k].as_py()
+                texts.append(words(text) if text else [])
                 docs.append(batch.column(0).slice(k, 1))
-                hashes.append(batch.column(1).slice(k, 1))
-                if len(ids) >= shard_words:
-                    yield shard(docs, hashes, lengths, ids)
-                    docs, hashes, lengths, ids = [], [], [], []
-        if lengths:
-            yield shard(docs, hashes, lengths, ids)
+                size += len(texts[-1]) + 1
+                if size >= shard_words:
+                    yield shard(docs, texts)
+                    docs, texts, size = [], [], 0
+        if texts:
+            yield shard(docs, texts)
 
-    return rows.mapInArrow(run, f"doc {kind}, h long, n_words long, matches {_MATCH}")
+    return rows.mapInArrow(run, schema_of("doc", rows.schema["doc"].dataType, _SCANNED))
 
 
 def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int):
     """The items in blocks of at most `block_bytes` (an item larger than that alone); only one is on the driver at a time."""
-    rows = benchmark.select(F.col(item_col).cast("string").alias("name"), F.col(text_col).cast("string").alias("text")).distinct().orderBy("name", "text")
+    rows = benchmark.select(column(item_col).cast("string").alias("name"), column(text_col).cast("string").alias("text")).distinct().orderBy("name", "text")
     block, size = [], 0
     for row in rows.toLocalIterator():
         n = len((row.text or "").encode())
@@ -195,36 +232,41 @@ def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_b
     yield block
 
 
+def _block_loaders(spark, blocks) -> list:
+    """A function for each block that loads it in a task: one block is broadcast, more of them are files of the shared folder."""
+    import pickle
+
+    first, more = next(blocks), next(blocks, None)
+    if more is None:
+        shared = spark.sparkContext.broadcast(first)
+        return [lambda: shared.value]
+    folder, loaders = shared_path(spark, "benchmark"), []
+
+    def loader(path):
+        def load_block():
+            with open_file(path) as source:
+                return pickle.loads(source.read())
+
+        return load_block
+
+    for k, block in enumerate(itertools.chain([first, more], blocks)):
+        path = f"{folder}/block-{k:06d}.pickle"
+        with open_file(path, "wb") as sink:
+            sink.write(pickle.dumps(block))
+        loaders.append(loader(path))
+    return loaders
+
+
 def verbatim_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per row of `docs`: doc, h, n_words, n_hit, items (distinct ids of items with matches, sorted as strings), matches.
+    """One row per row of `docs`: doc, n_words, n_hit, items (distinct ids of items with matches, sorted as strings), matches.
 
-    matches: the longest verbatim matches of at least a window, as array<struct<item: string, item_word, word,
-    words>>, places in words from 0. Null texts have no words. Rows that agree in id and text give one row each.
+    matches: the longest runs of words each window of which stands in the item, as array<struct<item: string,
+    item_word, word, words>>, places in words from 0; item_word is where the run's first window first stands in the
+    item. Unless an item repeats 12 words of itself, a run is a longest verbatim match. Null texts have no words. Items
+    without an id hit words and are in matches, but in `items` they are not listed. Repeated rows are kept.
     """
-    rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("h"), F.col(text_col).cast("string").cast("binary").alias("text"))
-
-    scans = []
-    for block in benchmark_blocks(benchmark, item_col, item_text_col, block_bytes):
-        names = F.array(*[F.lit(name) for name, _ in block]).cast("array<string>")
-        scan = _scan(rows, block, window, shard_words)
-        named = F.transform("matches", lambda m: F.struct(F.get(names, m["item"]).alias("item"), m["item_word"].alias("item_word"), m["word"].alias("word"), m["words"].alias("words")))  # noqa: B023
-        scans.append(scan.select("doc", "h", "n_words", named.alias("matches")))
-    found = scans[0]
-    if len(scans) > 1:  # rows that agree in id and text have equal matches: one of each scan, counted
-        found = cut_lineage(scans[0], "scan")
-        for more in scans[1:]:
-            more = cut_lineage(more, "scan").where(F.size("matches") > 0).select(F.col("doc").alias("d"), F.col("h").alias("g"), F.col("matches").alias("more")).dropDuplicates(["d", "g"])
-            found = found.join(more, F.col("doc").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left")
-            found = cut_lineage(found.select("doc", "h", "n_words", F.concat("matches", F.coalesce("more", F.array().cast(found.schema["matches"].dataType))).alias("matches")), "scan")
-    place = F.array_sort(F.transform("matches", lambda m: F.struct(m["word"].alias("a"), (m["word"] + m["words"]).alias("b"))))
-
-    def step(acc, m):  # the matches in the order of their starts, each adding what it covers beyond those before
-        end = F.greatest(acc["end"], m["b"])
-        return F.struct((acc["n"] + end - F.greatest(acc["end"], F.least(m["a"], end))).alias("n"), end.alias("end"))
-
-    covered = F.aggregate(place, F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), step, lambda acc: acc["n"].cast("long"))
-    items = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item"])))
-    return found.select("doc", "h", "n_words", F.when(F.size("matches") > 0, covered).otherwise(F.lit(0).cast("long")).alias("n_hit"), items.alias("items"), "matches")
+    rows = docs.select(column(id_col).alias("doc"), column(text_col).cast("string").cast("binary").alias("text"))
+    return _scan(rows, _block_loaders(docs.sparkSession, benchmark_blocks(benchmark, item_col, item_text_col, block_bytes)), window, shard_words)
 
 
 def contaminated(times: int = 20):
@@ -234,7 +276,7 @@ def contaminated(times: int = 20):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **settings) -> DataFrame:
     """The rows of `docs` that are not contaminated, with all their columns."""
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    whole = docs.select(whole_row(docs).alias("row"), column(text_col).alias("text"))
     return verbatim_matches(whole, benchmark, "row", "text", **settings).where(~contaminated()).select("doc.*")
 
 
