@@ -9,7 +9,8 @@ chained along each text, and the steps inside of all blocks run together. That g
 A text's language is the one with the largest sum of marginals, its score the mean marginal.
 
 The model is fitted on the driver on a bounded sample: at most ``per_lang`` labelled rows of each language, those
-with the least hash of their id. Nothing else is bounded.
+with the least hash of their id, and at most ``per_text`` characters of each. Nothing else is bounded; the languages
+must fit the driver.
 """
 
 from __future__ import annotations
@@ -23,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import column, load, schema_of, whole_row
 from .decontaminate import words
 
 DIM = 1 << 16
 GRAMS = (2, 3, 4)
-#: Bounds of the fit: labelled rows of each language, languages, and steps of a batch of sequences.
-PER_LANG, LANGS, STEPS, BATCH, LENGTH = 300, 64, 200, 64, 32
+#: Bounds of the fit: labelled rows of each language, characters of each row, and steps of a batch of sequences.
+PER_LANG, PER_TEXT, STEPS, BATCH, LENGTH = 300, 20_000, 200, 64, 32
 BLOCK = 64
 #: Words whose scores a worker keeps; beyond that it starts anew.
 CACHE_WORDS = 200_000
@@ -198,15 +199,36 @@ def _expected(e: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return p, (x / x.sum((2, 3), keepdims=True)).sum((0, 1))
 
 
-def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, usable: Column, per_lang: int = PER_LANG) -> list[tuple[str, str]]:
-    """Labelled rows for `fit`: of each language the `per_lang` rows with the least hash of id and text, over the whole table."""
-    rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).cast("string").alias("doc"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc"), "doc")
-    chosen = rows.distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_lang).select(F.col("doc").alias("d"), F.col("lang").alias("l"))
-    texts = docs.join(F.broadcast(chosen), F.col(id_col).cast("string").eqNullSafe(F.col("d")) & (F.col(lang_col) == F.col("l")))
-    # rows that share an id are as few as the ids; the least text stands for them
-    found = texts.where(usable & F.col(text_col).isNotNull()).groupBy("d", "l").agg(F.min(text_col).alias("t")).collect()
-    return sorted((r.l, r.t) for r in found)
+def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, usable: Column, per_lang: int = PER_LANG, per_text: int = PER_TEXT) -> list[tuple[str, str]]:
+    """Labelled rows for `fit`: of each language the `per_lang` rows with the least hash of their id, over the whole table, and `per_text` characters of each at a place that the hash picks.
+
+    The hashes are even, so a bound on them, from each language's number of rows, leaves about twice `per_lang` rows
+    to be ordered, however common the language is; where repeated rows leave too few, the bound doubles.
+    """
+    known = usable & column(lang_col).isNotNull() & column(text_col).isNotNull()
+    doc = column(id_col).cast("string")
+    rows = docs.where(known).select(column(lang_col).cast("string").alias("lang"), doc.alias("doc"), F.xxhash64(doc).alias("h"), column(text_col).cast("string").alias("text"))
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    out, share = [], 2.0
+    while counts:
+        bounds = [(lang, min(2**63 - 1, int(-(2**63) + share * per_lang / n * 2**64))) for lang, n in counts.items()]
+        small = rows.sparkSession.createDataFrame(bounds, "__l string, __b long")  # one row a language
+        near = rows.join(F.broadcast(small), F.col("lang") == F.col("__l")).where(F.col("h") <= F.col("__b"))
+        begin = F.pmod(F.col("h"), F.greatest(F.length("text") - per_text, F.lit(0)) + 1) + 1
+        part = F.col("text").substr(begin.cast("int"), F.lit(per_text))
+        # rows that share an id are as few as the ids; the least part stands for them
+        near = near.select("lang", "doc", "h", part.alias("part")).groupBy("lang", "doc", "h").agg(F.min("part").alias("part"))
+        order = Window.partitionBy("lang").orderBy("h", "doc")
+        found = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_lang).select("lang", "part").collect()
+        got: dict[str, list[str]] = {}
+        for lang, text in found:
+            got.setdefault(lang, []).append(text)
+        whole = {lang for lang, b in bounds if b == 2**63 - 1}
+        done = {lang for lang in counts if lang in whole or len(got.get(lang, ())) == per_lang}
+        out += [(lang, text) for lang in done for text in got.get(lang, ())]
+        counts = {lang: n for lang, n in counts.items() if lang not in done}
+        share *= 4
+    return sorted(out)
 
 
 class Labeller:
@@ -232,9 +254,8 @@ def label(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     `und` with score 0 where the text is null or has no letter, or nothing was learned. The text alone is used.
     Repeated rows are kept; other columns of `docs` are ignored. With `inner` the id is a struct that holds the text.
     """
-    rows = docs.select(F.col(id_col).alias("doc"), *[F.col(text_col).cast("string").alias("text")] * (not inner))
+    rows = docs.select(column(id_col).alias("doc"), *[column(text_col).cast("string").alias("text")] * (not inner))
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    kind = rows.schema["doc"].dataType.simpleString()
     run_type = pa.list_(pa.struct([("word", pa.int32()), ("words", pa.int32()), ("lang", pa.string())]))
 
     def run(batches):
@@ -279,13 +300,13 @@ def label(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
             columns = [batch.column(0), pa.array(lang, pa.string()), pa.array(score)] + [pa.array(spans, run_type)] * runs
             yield pa.RecordBatch.from_arrays(columns, names=["doc", "lang_pred", "score", "runs"][: len(columns)])
 
-    schema = f"doc {kind}, lang_pred string, score double" + ", runs array<struct<word:int,words:int,lang:string>>" * runs
+    schema = schema_of("doc", rows.schema["doc"].dataType, "lang_pred string, score double" + ", runs array<struct<word:int,words:int,lang:string>>" * runs)
     return rows.mapInArrow(run, schema).withColumnRenamed("doc", id_col)
 
 
 def in_one_language(docs: DataFrame, model: Model | None, least: float, text_col: str = "text") -> DataFrame:
     """The rows of `docs`, with all their columns, whose text has a letter and a language with a score of `least` or more."""
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    whole = docs.select(whole_row(docs).alias("row"))
     return label(whole, model, "row", text_col, inner=True).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
 
 
@@ -295,7 +316,7 @@ def has_letter(text: str) -> bool:
 
 def held_out(id_col: str) -> Column:
     """Rows that no learning uses: the remainder of the crc32 of the id as text by 3 is 1; false for a null id."""
-    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    return F.coalesce(F.crc32(column(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def learned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> Model | None:
