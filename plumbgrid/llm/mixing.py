@@ -1,9 +1,10 @@
 """Mixing sources to target weights: hash-random order within each source, prefix sums of sizes, exact cuts.
 
-Each row gets a random key, a hash of its id and text. Within a source rows stand in the order of their keys,
-which is dealt into buckets of about ``bucket_rows`` rows by the key's leading part. Sizes are summed per source
-and bucket, the bucket sums are added up along each source, and a window adds up the rows of one bucket. So no
-task holds a source, however large: the longest windows are a bucket's rows and a source's buckets.
+Each row gets a random key, the leading 32 bits of the MD5 of its id and text. Within a source rows stand in the
+order of their keys, which is dealt into buckets of about ``bucket_rows`` rows by the key's leading part. Sizes are
+summed per source and bucket, and per run of ``FAN`` buckets; the runs' sums are added up along each source, the
+buckets' along their run, and a window adds up the rows of one bucket. So no task holds a source, however large: the
+longest windows are a bucket's rows, a run's buckets and a source's runs (one for eight million rows).
 """
 
 from __future__ import annotations
@@ -11,13 +12,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, count_words, cut_lineage, load, text_or_empty
+from .common import SPACE, column, count_words, cut_lineage, load, text_or_empty, whole_row
 
 #: Weights of the sources in their order, repeating; share of all sizes; most epochs.
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 EPOCHS = 2.0
 _KEYS = 1 << 32
+#: Buckets of a run, whose sums one window adds up.
+FAN = 4096
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS) -> dict[str | None, float]:
@@ -41,7 +44,18 @@ def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, sh
 
 def random_key(doc_id: Column, text: Column) -> Column:
     """A number below 2**32 from the row alone, so that reruns agree."""
-    return F.xxhash64(doc_id.cast("string"), text).bitwiseAND(F.lit(_KEYS - 1))
+    return F.conv(F.substring(F.md5(F.concat_ws(":", doc_id.cast("string"), text)), 1, 8), 16, 10).cast("long")
+
+
+def _offsets(sums: DataFrame) -> DataFrame:
+    """(__s, __b, offset) of sums (source, bucket, s): what stands before each bucket in its source."""
+    before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.withColumn("run", F.floor(F.col("bucket") / FAN))
+    runs = sums.groupBy("source", "run").agg(F.sum("s").alias("r"))
+    runs = runs.select(F.col("source").alias("__o"), F.col("run").alias("__r"), before(Window.partitionBy("source").orderBy("run"), "r").alias("far"))
+    near = sums.select("source", "bucket", "run", before(Window.partitionBy("source", "run").orderBy("bucket"), "s").alias("near"))
+    joined = near.join(runs, F.col("source").eqNullSafe(F.col("__o")) & (F.col("run") == F.col("__r")))
+    return joined.select(F.col("source").alias("__s"), F.col("bucket").alias("__b"), (F.col("near") + F.col("far")).alias("offset"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS, bucket_rows: int = 2000) -> DataFrame:
@@ -55,7 +69,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     spark = docs.sparkSession
     text = text_or_empty(text_col)
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(source_col).cast("string").alias("source"), count_words(text, SPACE).alias("size"), random_key(F.col(id_col), text).alias("key"))
+    rows = docs.select(column(id_col).alias("doc"), column(source_col).cast("string").alias("source"), count_words(text, SPACE).alias("size"), random_key(column(id_col), text).alias("key"))
     rows = cut_lineage(rows, "mix")
     per_source = {r.source: (r.size, r.n) for r in rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()}
     goal = targets({s: size for s, (size, _) in per_source.items()}, weights, share, epochs)
@@ -63,8 +77,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     plan = spark.createDataFrame(plan, "source string, source_size long, target double, buckets long")
     rows = rows.join(F.broadcast(plan.withColumnRenamed("source", "__s")), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     rows = rows.withColumn("bucket", F.floor(F.col("key") * F.col("buckets") / F.lit(_KEYS)))
-    along = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("s")).select(F.col("source").alias("__s"), F.col("bucket").alias("__b"), F.coalesce(F.sum("s").over(along), F.lit(0)).alias("offset"))
+    sums = _offsets(rows.groupBy("source", "bucket").agg(F.sum("size").alias("s")))
     rows = rows.join(sums, F.col("source").eqNullSafe(F.col("__s")) & (F.col("bucket") == F.col("__b")))
     inside = Window.partitionBy("source", "bucket").orderBy("key", F.col("doc"), "size").rowsBetween(Window.unboundedPreceding, -1)
     first = F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0))
@@ -82,11 +95,11 @@ def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     columns = docs.columns
     text = text_or_empty(text_col)
-    key = [F.col(id_col).cast("string").alias("__i"), F.xxhash64(text).alias("__h"), F.col(source_col).cast("string").alias("__o")]
+    key = [column(id_col).cast("string").alias("__i"), F.xxhash64(text).alias("__h"), column(source_col).cast("string").alias("__o")]
     taken = mix(docs, id_col, text_col, source_col, **settings)
-    taken = taken.select(F.col(id_col).cast("string").alias("__i"), "__key", F.col("source").alias("__o"), "size", "taken")
+    taken = taken.select(column(id_col).cast("string").alias("__i"), "__key", F.col("source").alias("__o"), "size", "taken")
     taken = taken.withColumn("__n", F.row_number().over(Window.partitionBy("__i", "__key", "__o").orderBy("taken")))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"), *key, random_key(F.col(id_col), text).alias("__key"))
+    rows = docs.select(whole_row(docs).alias("__row"), *key, random_key(column(id_col), text).alias("__key"))
     rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("__i", "__key", "__o").orderBy("__h")))
     taken = taken.select(*[F.col(c).alias(f"t{c}") for c in ("__i", "__key", "__o", "__n")], "size", "taken")
     same = F.lit(True)

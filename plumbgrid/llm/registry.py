@@ -23,5 +23,5 @@ def queries():
 
 
 def oracle_sql():
-    found = {"op1_license_scan": sql.licenses(), "op4_embedding_groups": sql.EMBEDDINGS, "op5_decontaminate": sql.DECONTAMINATION}
+    found = {"op1_license_scan": sql.licenses(), "op4_embedding_groups": sql.EMBEDDINGS, "op5_decontaminate": sql.DECONTAMINATION, "op6_mix": sql.MIXTURE}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

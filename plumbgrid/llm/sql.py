@@ -58,3 +58,14 @@ its AS (SELECT doc_id, count(DISTINCT item) AS n, string_agg(DISTINCT item, ','
 SELECT d.doc_id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(its.n, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
   coalesce(hit.n, 0) > 0 AND 20 * coalesce(hit.n, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN its ON its.doc_id = d.doc_id"""
+
+#: Targets: sources in the order of their limit by weight; those before the first that the rest's share doesn't fill are full.
+MIXTURE = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, CAST('0x' || substr(md5(concat_ws(':', CAST(doc_id AS VARCHAR), coalesce(text, ''))), 1, 8) AS BIGINT) AS key FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w FROM d GROUP BY source),
+u AS (SELECT *, (1.5e0 * sum(n) OVER () - 2 * (sum(n) OVER o - n)) / (sum(w) OVER () - (sum(w) OVER o - w)) AS unit FROM s WINDOW o AS (ORDER BY n * 1e0 / w, source IS NULL, source ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT unit AS share FROM u WHERE unit * w <= 2 * n ORDER BY n * 1e0 / w, source IS NULL, source LIMIT 1),
+g AS (SELECT source, n, CASE WHEN share * w > 2 * n THEN 2e0 * n ELSE share * w END AS target FROM u, f),
+r AS (SELECT d.doc_id, d.size, g.n, g.target, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY key, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first,
+  CASE WHEN g.n > 0 THEN CAST(floor(g.target / g.n) AS BIGINT) ELSE 0 END AS whole FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, n AS source_size, target, CAST(whole * size + least(greatest(CAST(floor(target) AS BIGINT) - whole * n - first, 0), size) AS BIGINT) AS taken FROM r"""
