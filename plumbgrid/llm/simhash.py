@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, load
+from .common import column, cut_lineage, load, schema_of, scratch, text_or_empty, whole_row
 from .components import components, union
 
 SHINGLE = 4
@@ -55,14 +55,14 @@ def majority(hashes: np.ndarray) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """(doc, fp) for each row; fp is the fingerprint as a signed long. Null texts have no words."""
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    rows = docs.select(column(id_col).alias("doc"), column(text_col).cast("string").cast("binary").alias("text"))
 
     def run(batches):
         for batch in batches:
             fps = np.fromiter((fingerprint(t.as_py() or b"", shingle, seed) for t in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc", "fp"])
 
-    return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(run, schema_of("doc", rows.schema["doc"].dataType, "fp long"))
 
 
 def masks(radius: int = RADIUS) -> list[int]:
@@ -164,22 +164,24 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null texts, and texts without words, have fingerprint zero, which links as any other. Repeated rows share
     their fingerprint. A null id never is a component's id unless all ids in it are null. Other columns are ignored.
     """
-    known = cut_lineage(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
-    distinct = cut_lineage(known.groupBy("fp").agg(F.min("doc").alias("least")), "distinct")
-    roots = components(fingerprint_links(distinct, radius)).select(F.col("node").alias("fp"), "root")
-    distinct = distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    least = distinct.groupBy("root").agg(F.min("least").alias("component"))
-    classes = cut_lineage(distinct.select("fp", "root").join(least, "root").select(F.col("fp").alias("f"), "component"), "classes")
+    with scratch(docs.sparkSession) as keep:
+        known = keep(cut_lineage(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints"))
+        distinct = cut_lineage(known.groupBy("fp").agg(F.min("doc").alias("least")), "distinct")
+        roots = components(fingerprint_links(distinct, radius)).select(F.col("node").alias("fp"), "root")
+        distinct = distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+        least = distinct.groupBy("root").agg(F.min("least").alias("component"))
+        classes = keep(cut_lineage(distinct.select("fp", "root").join(least, "root").select(F.col("fp").alias("f"), "component"), "classes"))
     joined = known.join(classes, F.col("fp") == F.col("f"))
     return joined.select(F.col("doc").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The rows of `docs`, with all their columns, that stand for their groups: one row each, with the least id (null before all), then the least hash of the text."""
-    key = F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("h"))
-    groups = simhash_groups(docs.select(key.alias("key"), F.col(f"`{text_col}`").alias("text")), "key", "text", **settings)
-    stay = cut_lineage(groups.where(F.col("key") == F.col("component_id")).select("key").distinct(), "stay")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("k"))
+    key = F.struct(column(id_col).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("h"))
+    with scratch(docs.sparkSession) as keep:
+        groups = simhash_groups(docs.select(key.alias("key"), column(text_col).alias("text")), "key", "text", **settings)
+        stay = keep(cut_lineage(groups.where(F.col("key") == F.col("component_id")).select("key").distinct(), "stay"))
+    rows = docs.select(whole_row(docs).alias("row"), key.alias("k"))
     same = F.col("k.id").eqNullSafe(F.col("key.id")) & (F.col("k.h") == F.col("key.h"))
     rows = rows.join(stay, same, "left_semi").select("row", F.col("k.id").alias("__id"), F.col("k.h").alias("__h"))
     return rows.dropDuplicates(["__id", "__h"]).select("row.*")

@@ -1,5 +1,6 @@
 """SimHash groups, decontamination, mixing and tokens against plain Python over whole texts."""
 
+import hashlib
 import io
 import random
 import re
@@ -13,7 +14,7 @@ import xxhash
 
 from plumbgrid.llm import decontaminate, mixing, pfor, simhash, token_counts, token_files
 from plumbgrid.llm.components import components
-from plumbgrid.llm.tokenizing import VOCABULARY, pieces, tokenizer
+from plumbgrid.llm.tokenizing import VOCABULARY, Cuts, tokenizer
 
 TEXTS = [None, "", " \n\t ", "one", "Two  words\there", "a b c d", "a b c d e", "x y z w é É", "the " * 5000, "<|endoftext|> a  <|endoftext|> b\n\n  c", "a  b   c \n d\r\n e 　f  ", "12 34 5,6 a-b 'll I'll  don't"]
 
@@ -143,6 +144,37 @@ def test_longest_matches(spark):
     assert [[tuple(m) for m in r.matches] for r in got] == [[("i", 0, 2, 30)], [("i", 3, 0, 17)]]
 
 
+def test_repeated_words_make_no_product(spark):
+    """400 windows of one word over and over, against a text of 20,000 of it."""
+    items = spark.createDataFrame([("a", "the " * 400), ("b", "the " * 13), ("c", "the of " * 200), (None, "x y z")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "the " * 20_000), (2, "of the " * 5000), (3, "the " * 12), (4, "x y z")], "doc_id long, text string")
+    got = {r.doc: r for r in decontaminate.verbatim_matches(docs, items, shard_words=1 << 30).collect()}
+    assert [tuple(m) for m in got[1].matches] == [("a", 0, 0, 20_000), ("b", 0, 0, 20_000)]
+    assert [tuple(m) for m in got[2].matches] == [("c", 1, 0, 10_000)] and got[3].n_hit == 0
+    assert got[4].n_hit == 3 and got[4]["items"] == [] and got[4].matches[0].item is None
+    bench = decontaminate.Benchmark([("a", "the " * 400), ("b", "the " * 13), ("c", "the of " * 200)])
+    ids = np.array([bench.vocabulary[b"the"]] * 500 + [0] + [bench.vocabulary[w] for w in (b"of", b"the")] * 30 + [0])
+    assert all((a == b).all() for k in (1, 2, 7, 100) for a, b in zip(bench.matches(ids, k), bench.matches(ids), strict=True))
+
+
+def test_odd_columns(spark):
+    """Names that no DDL spells, nested columns and maps go through the row-keeping forms."""
+    rows = [(1, "the words of it " * 9, "en", {"k": 1}, "u"), (2, None, "en", None, None), (1, "the words of it " * 9, "en", {}, "v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, `a.b map` map<string,int>, `source url` string")
+    items = spark.createDataFrame([("i", "words of it the")], "item_id string, text string")
+    for block_bytes in (1 << 20, 1):
+        assert decontaminate.decontaminate(docs, items.union(items.selectExpr("'j'", "'no such'")), block_bytes=block_bytes).columns == docs.columns
+    left = decontaminate.decontaminate(docs, items).collect()
+    assert [r.doc_id for r in left] == [2]
+    assert simhash.one_of_each_group(docs).count() == 2 and simhash.one_of_each_group(docs).columns == docs.columns
+    mixed = mixing.mixed_texts(docs, source_col="source url")
+    assert mixed.columns == docs.columns and mixed.count() > 0
+    other = docs.withColumnsRenamed({"doc_id": "the id", "text": "a.text"})
+    assert token_counts.token_counts(other, "the id", "a.text").columns == ["the id", "n_bytes", "n_tokens", "over_limit"]
+    assert token_files.token_output(other, "the id", "a.text").count() == simhash.simhash_groups(other, "the id", "a.text").count() == mixing.mix(other, "the id", "a.text", "source url").count() == 3
+    assert decontaminate.verbatim_matches(other, items, "the id", "a.text").count() == 3
+
+
 def test_mix(spark, docs):
     got = mixing.mix(docs, bucket_rows=20).collect()
     again = mixing.mix(docs.repartition(3), bucket_rows=20).collect()
@@ -163,6 +195,39 @@ def test_mix(spark, docs):
     assert sum(len(r.text.split()) if r.doc_id != 1007 else 4 for r in texts) == pytest.approx(sum(r.taken for r in got), abs=8)
 
 
+def targets_by_bisection(sizes):
+    """The share of a unit of weight at which all targets, cut at twice their source, make up the whole."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}
+    whole, lo, hi = 1.5 * sum(sizes.values()), 0.0, 2.0 * sum(sizes.values()) + 1
+    for _ in range(200):
+        unit = (lo + hi) / 2
+        lo, hi = (unit, hi) if sum(min(2 * sizes[s], unit * weight[s]) for s in names) < whole else (lo, unit)
+    return {s: min(2.0 * sizes[s], hi * weight[s]) for s in names}
+
+
+def test_mix_by_hand(spark, docs):
+    """Every row's `taken` from a plain walk along each source."""
+    rows = [(r.doc_id, r.text or "", r.source) for r in docs.collect()]
+    size = lambda t: len([x for x in re.split(r"[\x20\x09-\x0D]+", t) if x])
+    sizes = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + size(t)
+    goal, expected = targets_by_bisection(sizes), []
+    for s in sizes:
+        left = int(goal[s] + 1e-6)
+        mine = [(hashlib.md5((t if i is None else f"{i}:{t}").encode()).hexdigest()[:8], i if i is not None else -1, size(t)) for i, t, o in rows if o == s]
+        taken = [0] * len(mine)
+        while left > 0:  # epoch after epoch
+            for k, (_, _, n) in sorted(enumerate(mine), key=lambda x: x[1]):
+                step = min(n, left)
+                taken[k], left = taken[k] + step, left - step
+        expected += [(i if i >= 0 else None, n, sizes[s], round(goal[s], 6), t) for (_, i, n), t in zip(mine, taken, strict=True)]
+    for bucket_rows in (3, 2000):
+        got = mixing.mix(docs, bucket_rows=bucket_rows).collect()
+        assert plain((r.doc_id, r["size"], r.source_size, round(r.target, 6), r.taken) for r in got) == plain(expected)
+
+
 def test_targets():
     assert mixing.targets({"a": 10, "b": 100, "c": 100}) == pytest.approx({"a": 20, "b": 295 / 3, "c": 2 * 295 / 3})
     assert mixing.targets({"a": 0}) == {"a": 0} and mixing.targets({}) == {}
@@ -208,14 +273,36 @@ def test_token_files(spark, docs, tok):
 
 
 def test_pieces(tok):
-    r = random.Random(4)
-    for _ in range(200):
-        text = "".join(r.choices("ab Z1.,'\n\t  é中 ", k=80))
-        assert "".join(parts := list(pieces(text, 5))) == text
+    r, cuts = random.Random(4), Cuts(tok)
+    for k in range(300):
+        text = "".join(r.choices("ab Z1.,'\n\t  é中" if k % 2 else "的人。，日本Aa0+/=é٣", k=80))
+        if k % 3 == 0:
+            text = text[:37] + "<|endoftext|>" + text[37:]
+        assert "".join(parts := list(cuts.pieces(text, 5))) == text
         assert [i for p in parts for i in tok.encode(p, add_special_tokens=False).ids] == tok.encode(text, add_special_tokens=False).ids
         texts = [text, "", None, text[40:] + "<|endoftext|>", "plain words, and marks."]
-        got = token_files.Encoder(tok, ("<|endoftext|>",)).encode(pa.array(texts, pa.string()))
-        assert [g.tolist() for g in got] == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+        enc = token_files.Encoder(tok, ("<|endoftext|>",))
+        expected = [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert [g.tolist() for g in enc.encode(pa.array(texts, pa.string()))] == expected
+        assert enc.count(pa.array(texts, pa.string())).tolist() == list(map(len, expected))
+
+
+def test_texts_without_blanks_are_cut(spark, tok):
+    r = random.Random(8)
+    texts = ["".join(r.choices("的一是不了人我在有他这为之大来以个中上们", k=80_000)), "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=80_000)), "a" * 30_000, "中，" * 20_000]
+    longest = [max(map(len, Cuts(tok).pieces(t, 1000))) for t in texts]
+    assert longest[0] < 2000 and longest[1] < 2000 and longest[3] < 2000
+    docs = spark.createDataFrame([(k, t + (" and words" * 3000 if k % 2 else "")) for k, t in enumerate(texts)], "doc_id long, text string")
+    expected = [(r.doc_id, len(tok.encode(r.text, add_special_tokens=False).ids)) for r in docs.collect()]
+    got = token_counts.token_counts(docs, batch_bytes=50_000, piece_chars=1000).select("doc_id", "n_tokens").collect()
+    assert plain(got) == plain(expected)
+
+
+def test_batches_by_bytes():
+    for sizes in ([], [0, 0], [5, 1, 1, 100, 1, 1], list(range(50))):
+        runs = list(token_counts.byte_batches(np.array(sizes, np.int64), 10))
+        assert [k for a, b in runs for k in range(a, b)] == list(range(len(sizes)))
+        assert all(sum(sizes[a : b - 1]) < 10 for a, b in runs)
 
 
 def test_empty(spark):

@@ -84,6 +84,28 @@ def test_embedding_groups(spark, tile):
     assert got == groups(rows)
 
 
+@pytest.mark.parametrize("tile", [16, 64])
+def test_dense_groups(spark, tile):
+    """Hundreds of near copies, none equal, some at the limit, beside vectors alone: more than a tile of one class."""
+    r = np.random.default_rng(9)
+    one = r.normal(size=12)
+    vectors = np.concatenate([one + r.normal(size=(300, 12)) * 0.15, one + r.normal(size=(60, 12)) * 0.4, r.normal(size=(100, 12)), np.eye(12), np.full((3, 12), 1.0)])
+    rows = [(1000 - k, [float(x) for x in v]) for k, v in enumerate(vectors)]
+    got = sorted(map(tuple, embeddings.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), tile=tile).collect()))
+    assert got == groups(rows) and max(x[1] for x in got) > 250
+
+
+def test_bounds_leave_only_pairs_beyond_the_share_out():
+    r = np.random.default_rng(2)
+    for _ in range(200):
+        a, b = r.normal(size=(5, 16)) * 0.1 + r.normal(size=16) * 0.2, r.normal(size=(5, 16)) * 0.1
+        x, y = embeddings.rotated(a), embeddings.rotated(b)
+        near = embeddings.reachable(x.min(0), x.max(0), y.min(0), y.max(0), 0.9, 4)
+        for k, ((lo, hi), share) in enumerate(zip(embeddings.splits(16, 4), embeddings.shares(16, 0.9, 4), strict=True)):
+            if (((x[:, None, lo:hi] - y[None, :, lo:hi]) ** 2).sum(2) <= share).any():
+                assert k in near
+
+
 def test_embedding_edges(spark):
     schema = "vec_id long, embedding array<float>"
     assert embeddings.embedding_groups(spark.createDataFrame([], schema)).count() == 0
