@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbgrid.llm import langid
-from plumbgrid.llm.common import cut_lineage, load
+from plumbgrid.llm.common import cut_lineage, load, release, scratch
 from plumbgrid.llm.decontaminate import decontaminate
 from plumbgrid.llm.mixing import mixed_texts
 from plumbgrid.llm.simhash import one_of_each_group
@@ -57,7 +57,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`: doc_id, start, n_tokens, ids_crc32 of each text in the token files.
+
+    Each stage's rows are written to the shared folder before the next one reads them, and what only led to them is
+    deleted. Null, empty and repeated texts go through as the stages define it; an empty table gives no rows.
+    """
     docs = load(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = cut_lineage(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as keep:
+            done = keep(cut_lineage(stage(spark, docs, sf_dir), name))
+        release(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
