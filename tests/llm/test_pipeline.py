@@ -89,3 +89,28 @@ def test_tokens(steps):
 
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_stages_on_empty_tables(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        assert out.count() == 0, name
+        assert name == "tokens" or out.columns == docs.columns
+
+
+def test_stages_keep_odd_columns(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60")
+    docs = docs.selectExpr("*", "source AS `source url`", "map(lang, n_chars) AS `a.b`", "array(struct(lang AS `l l`)) AS row", "1 AS doc", "2 AS __n", "3 AS h", "'x' AS lang_pred", "0.5 AS score")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        assert out.count() > 0 and (name == "tokens" or out.schema.simpleString() == docs.schema.simpleString()), name
+
+
+def test_run_leaves_only_what_its_result_reads(spark, sf):
+    from plumbgrid import lineage
+
+    lineage.release_all(spark)
+    got = corpus_pipeline.run(spark, sf)
+    assert got.count() > 0 and {p.rsplit("/", 1)[1].split("-")[1] for p in lineage._made} <= {"mixture", "tokens", "manifest"}
+    lineage.release_all(spark)
