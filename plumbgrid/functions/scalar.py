@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 
 MASK = 0xFFFFFFFF
 
@@ -102,16 +105,131 @@ def compatible(a: Column, b: Column) -> Column:
 
 
 def content_hash(**fields: Column) -> Column:
-    """sha256 of the fields as JSON with sorted keys and no spaces."""
+    """sha256 of flat fields (integers, booleans, ASCII strings) as JSON with sorted keys and no spaces; `canonical_hash` takes any."""
     return F.sha2(F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"}), 256)
 
 
-def log_line(kind: str, level: Column, system: Column, ms: Column, message: Column) -> Column:
+def canonical(value) -> str:
+    """JSON with sorted keys at every level, no spaces, ASCII only."""
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), default=str)
+
+
+def _plain(value):
+    """Rows, arrays and maps of a batch as dicts and lists."""
+    if isinstance(value, dict):
+        return {k: _plain(v) for k, v in value.items()}
+    if isinstance(value, list | tuple):  # a map comes as pairs where Arrow can't tell
+        return [_plain(v) for v in value]
+    return value
+
+
+def canonical_hash(value: Column) -> Column:
+    """sha256 of a column of any type as canonical JSON: nested keys sorted, floats and non-ASCII text as Python's json writes them."""
+
+    @arrow_udf("string")
+    def run(v: pa.Array) -> pa.Array:
+        return pa.array([hashlib.sha256(canonical(_plain(x)).encode()).hexdigest() for x in v.to_pylist(maps_as_pydicts="strict")], pa.string())
+
+    return run(value)
+
+
+def content_key(fixed: dict, x: Column, z: Column) -> Column:
+    """sha256 of canonical JSON: fixed fields and a place."""
+
+    @arrow_udf("string")
+    def run(xs: pa.Array, zs: pa.Array) -> pa.Array:
+        found = [canonical(fixed | {"world_origin_x": a, "world_origin_z": b}) for a, b in zip(xs.to_pylist(), zs.to_pylist(), strict=True)]
+        return pa.array([hashlib.sha256(t.encode()).hexdigest() for t in found], pa.string())
+
+    return run(x.cast("double"), z.cast("double"))
+
+
+def migration_path(a: Column, b: Column) -> Column:
+    """The versions to go through: none if they are equal, else the target alone."""
+    return F.when(a == b, F.array().cast("array<string>")).otherwise(F.array(b))
+
+
+def page_origin(v: Column, extent: float) -> Column:
+    """Where the page of a coordinate begins."""
+    return F.floor(v / extent) * extent
+
+
+def snap(v: Column, size: float) -> Column:
+    """The nearest multiple of a cell; halves go away from zero."""
+    return F.round(v / size) * size
+
+
+def world_to_uv(v: Column, lo: float, hi: float) -> Column:
+    """A coordinate from 0 to 1 within bounds; 0 where they are the same."""
+    return unit((v - lo) / (hi - lo)) if hi != lo else F.lit(0.0)
+
+
+def height01(h: Column, amplitude: float) -> Column:
+    return h / amplitude * 0.5 + 0.5
+
+
+def height_of(v: Column, scale: float, offset: float = 0.0) -> Column:
+    """The height that a stored value from 0 to 1 stands for."""
+    return (v - 0.5) * 2.0 * scale + offset
+
+
+def haze(distance: Column, near: float, far: float) -> Column:
+    return smoothstep(near, far, distance)
+
+
+def triplanar_weights(x: Column, y: Column, z: Column, sharpness: float) -> Column:
+    """struct of x, y, z: powers of a normal's parts, over their sum."""
+    parts = [F.pow(F.abs(v), F.lit(sharpness)) for v in (x, y, z)]
+    total = F.greatest(parts[0] + parts[1] + parts[2], F.lit(1e-4))
+    return F.struct(*[(p / total).alias(k) for p, k in zip(parts, "xyz", strict=True)])
+
+
+def is_stale(stamp: Column, expected: Column) -> Column:
+    """A missing stamp is stale; a blank one never is fresh."""
+    found = F.coalesce(stamp, F.lit(""))
+    return (found == "") | (found != expected)
+
+
+def page_key(ring: Column, x: Column, z: Column) -> Column:
+    """ring:x:z, coordinates cut to integers."""
+    return F.concat_ws(":", ring.cast("string"), x.cast("bigint").cast("string"), z.cast("bigint").cast("string"))
+
+
+def resolved(path: Column, world: str, engine: str, mount: str = "addons/engine/") -> Column:
+    """A res:// path on disk: the mounted engine, the engine's worlds, or the world itself; other paths as they are."""
+    rest = F.regexp_replace(path, "^res://", "")
+    inside = F.when(rest.startswith(mount), F.concat(F.lit(engine + "/"), F.substring(rest, len(mount) + 1, 1 << 20)))
+    inside = inside.when(rest.startswith("worlds/"), F.concat(F.lit(engine + "/"), rest)).otherwise(F.concat(F.lit(world + "/"), rest))
+    return F.when(path.startswith("res://"), inside).otherwise(path)
+
+
+def duration_ms(started: Column, ended: Column, now: Column) -> Column:
+    """0 for what has not started; what has not ended lasts until now."""
+    return F.when(F.coalesce(started, F.lit(0)) <= 0, F.lit(0).cast("bigint")).otherwise(F.when(F.coalesce(ended, F.lit(0)) > 0, ended).otherwise(now) - started)
+
+
+def log_line(kind: str, level: Column, system: Column, ms: Column, message: Column, fields: dict[str, Column] | None = None) -> Column:
+    """One line: human (padded, with k=v fields), json (the fields beside the others) or compact."""
+    pairs = [F.concat(F.lit(f"{k}="), v.cast("string")) for k, v in (fields or {}).items()]
     if kind == "human":
-        return F.format_string("[%s] [%s] [%6d] %s", F.rpad(level, 5, " "), F.rpad(F.substring(system, 1, 15), 15, " "), ms, message)
+        return F.concat_ws(" ", F.format_string("[%s] [%s] [%6d] %s", F.rpad(level, 5, " "), F.rpad(F.substring(system, 1, 15), 15, " "), ms, message), *pairs)
     if kind == "json":
-        return F.to_json(F.struct(level.alias("level"), system.alias("system"), ms.alias("ts_ms"), message.alias("msg")))
-    return F.concat_ws(" ", level, system, message)
+        return F.to_json(F.struct(level.alias("level"), system.alias("system"), ms.alias("ts_ms"), message.alias("msg"), *[v.alias(k) for k, v in (fields or {}).items()]))
+    return F.concat_ws(" ", level, system, message, *pairs)
+
+
+#: Levels in their order.
+LEVELS = ("DEBUG", "INFO", "WARN", "ERROR")
+
+
+def should_log(level: Column, system: Column, least: str, verbose: list[str]) -> Column:
+    """At or over the least level; DEBUG also for systems that are verbose."""
+    rank = F.array_position(F.array(*map(F.lit, LEVELS)), level)
+    return (rank >= LEVELS.index(least) + 1) | ((level == "DEBUG") & system.isin(*verbose))
+
+
+def to_stderr(level: Column) -> Column:
+    return level.isin("WARN", "ERROR")
 
 
 # noise on arrays, for Arrow UDFs

@@ -103,18 +103,30 @@ def thermal(h: np.ndarray, talus: float, rate: float) -> np.ndarray:
     return h - sum(flows) + _given(flows)
 
 
-def erode(h: np.ndarray, iterations: int = 50, thermal_iterations: int = 20, rain: float = 0.01, evaporation: float = 0.02, capacity: float = 0.1, min_slope: float = 0.01, dissolve: float = 0.1, deposit: float = 0.1, talus_deg: float = 35.0, talus_rate: float = 0.25) -> dict[str, np.ndarray]:
+#: The parameters of erosion with their defaults; `gravity` and `seed` are accepted and change nothing.
+EROSION = {
+    "iterations": 50, "rain_rate": 0.012, "evaporation": 0.015, "sediment_capacity": 0.10, "dissolve_rate": 0.30, "deposit_rate": 0.30,
+    "min_slope": 0.005, "gravity": 9.81, "thermal_iterations": 50, "talus_angle_deg": 30.0, "talus_rate": 0.25, "seed": 42,
+}
+
+
+def erode(h: np.ndarray, **settings) -> dict[str, np.ndarray]:
     """Rain, flow to lower neighbours, dissolving and depositing, with a slide every few steps; only slides without iterations.
 
-    `thermal_iterations` sets the cadence, iterations // thermal_iterations, not an exact count.
+    The settings are those of EROSION; others raise TypeError. `thermal_iterations` sets the cadence, iterations //
+    thermal_iterations, not an exact count.
     """
+    if unknown := settings.keys() - EROSION.keys():
+        raise TypeError(f"no erosion settings: {sorted(unknown)}")
+    p = EROSION | settings
+    iterations, thermal_iterations, talus_rate = p["iterations"], p["thermal_iterations"], p["talus_rate"]
     h = h.astype(np.float32)
     water, sediment, drainage = (np.zeros_like(h) for _ in range(3))
     flows = [np.zeros_like(h)] * 4
-    talus = float(np.tan(np.radians(talus_deg)))
+    talus = float(np.tan(np.radians(p["talus_angle_deg"])))
     every = max(1, iterations // thermal_iterations) if thermal_iterations else 0
     for step in range(iterations):
-        water += rain
+        water += np.float32(p["rain_rate"])
         level = h + water
         flows = [np.nan_to_num(np.fmax(0, level - _beyond(level, a, s))) for a, s in _SIDES]
         wanted = sum(flows)
@@ -125,10 +137,10 @@ def erode(h: np.ndarray, iterations: int = 50, thermal_iterations: int = 20, rai
         drainage += out
         speed = np.hypot(flows[1] - flows[0], flows[3] - flows[2])
         gy, gx = np.gradient(h)
-        gap = capacity * np.maximum(np.hypot(gx, gy), min_slope) * speed - sediment
-        moved = np.where(gap > 0, dissolve, deposit) * gap
+        gap = p["sediment_capacity"] * np.maximum(np.hypot(gx, gy), p["min_slope"]) * speed - sediment
+        moved = np.where(gap > 0, p["dissolve_rate"], p["deposit_rate"]) * gap
         h, sediment = h - moved.astype(np.float32), sediment + moved.astype(np.float32)
-        water *= 1 - evaporation
+        water *= np.float32(1 - p["evaporation"])
         if every and step % every == 0:
             h = thermal(h, talus, talus_rate)
     if not iterations:
@@ -177,13 +189,94 @@ def blurred(h: np.ndarray, sigma: float, mode: str = "symmetric") -> np.ndarray:
     return h
 
 
-def ridges(h: np.ndarray, sigma: float = 1.5) -> np.ndarray:
+def ridges(h: np.ndarray, sigma: float = 2.0) -> np.ndarray:
     """Where the smoothed surface bends down, 0 to 1."""
     smooth = np.pad(blurred(h, max(sigma, 0.001)), 1, mode="symmetric")
     bend = 4 * smooth[1:-1, 1:-1] - smooth[:-2, 1:-1] - smooth[2:, 1:-1] - smooth[1:-1, :-2] - smooth[1:-1, 2:]
     return normalized(np.clip(bend, 0, None))
 
 
+#: The modes of a terrain feature.
+MODES = ("dem_height", "ridge_emphasis", "drainage_accumulation", "slope_deg", "aspect_deg")
+
+
+def feature(h: np.ndarray, mode: str, sigma: float = 2.0) -> np.ndarray:
+    """A feature of a raster, computed from its heights; ValueError for other modes."""
+    if mode == "dem_height":
+        return h.astype(np.float64)
+    if mode == "ridge_emphasis":
+        return ridges(h.astype(np.float64), sigma)
+    if mode == "drainage_accumulation":
+        return drainage(h)
+    if mode not in MODES:
+        raise ValueError(f"unknown feature mode {mode!r}")
+    gy, gx = np.gradient(h.astype(np.float64))
+    return np.degrees(np.arctan(np.hypot(gx, gy))) if mode == "slope_deg" else np.mod(np.degrees(np.arctan2(-gx, gy)), 360.0)
+
+
+def resampled(h: np.ndarray, n: int) -> np.ndarray:
+    """Bilinear samples at n x n evenly spaced places from corner to corner."""
+    y, x = (np.linspace(0, size - 1, n) for size in h.shape)
+    rows, cols = (np.minimum(np.floor(t).astype(int), max(size - 2, 0)) for t, size in ((y, h.shape[0]), (x, h.shape[1])))
+    wide = np.pad(h.astype(np.float64), ((0, 1), (0, 1)), mode="edge")
+    v, u = (y - rows)[:, None], (x - cols)[None, :]
+    corner = lambda i, j: wide[np.ix_(rows + i, cols + j)]
+    return (corner(0, 0) * (1 - u) + corner(0, 1) * u) * (1 - v) + (corner(1, 0) * (1 - u) + corner(1, 1) * u) * v
+
+
+def features(df: DataFrame, page: list[str], n: int, modes: tuple[str, ...] = MODES, sigma: float = 2.0) -> DataFrame:
+    """(page, mode, r, c, v): every page's raster (r, c, h) resampled to n x n, then its features; ValueError for unknown modes or n < 1."""
+    if n < 1 or set(modes) - set(MODES):
+        raise ValueError(f"n is {n}, modes are {modes}")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["r", "c"])
+        h = resampled(pdf.h.to_numpy(np.float64).reshape(int(pdf.r.max()) + 1, int(pdf.c.max()) + 1), n)
+        r, c = np.indices((n, n))
+        parts = [pd.DataFrame({**{k: pdf[k].iloc[0] for k in page}, "mode": mode, "r": r.ravel(), "c": c.ravel(), "v": feature(h, mode, sigma).ravel()}) for mode in modes]
+        return pd.concat(parts)
+
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    return df.select(*page, "r", "c", "h").groupBy(*page).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in page) + ", mode string, r int, c int, v double")
+
+
+def half_shift(df: DataFrame, rows: int, cols: int) -> DataFrame:
+    """A raster moved by half its size around its edges; what was its border meets in the middle."""
+    return df.withColumns({"r": (F.col("r") + (rows - rows // 2)) % rows, "c": (F.col("c") + (cols - cols // 2)) % cols})
+
+
+def value_range(df: DataFrame, page: list[str], value: str = "h", nodata: float | None = None, floor: float = -9000.0) -> DataFrame:
+    """(page, lo, hi) of the values above `floor` that are not `nodata`; pages without any have no row."""
+    valid = (F.col(value) > floor) & (F.lit(True) if nodata is None else F.col(value) != nodata)
+    return df.where(valid).groupBy(*page).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+
+
+def normalized_by(df: DataFrame, page: list[str], value: str = "h", least: float = 1e-6) -> DataFrame:
+    """Adds v, the value from 0 to 1 within its page; 0 where a page's range is `least` or less."""
+    bounds = df.groupBy(*page).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
+    rows = df.join(bounds, page)
+    span = F.col("__hi") - F.col("__lo")
+    return rows.withColumn("v", F.when(span > least, (F.col(value) - F.col("__lo")) / span).otherwise(F.lit(0.0))).drop("__lo", "__hi")
+
+
+def delta_stats(df: DataFrame, page: list[str], before: str, after: str, over: float = 0.5) -> DataFrame:
+    """(page, cells, mean_delta, max_delta, changed): how far two rasters of the same cells differ; changed counts cells over `over`."""
+    d = F.abs(F.col(after) - F.col(before))
+    return df.groupBy(*page).agg(F.count("*").alias("cells"), F.avg(d).alias("mean_delta"), F.max(d).alias("max_delta"), F.count_if(d > over).alias("changed"))
+
+
+def seam_score(df: DataFrame, page: list[str], rows: int, cols: int, values: list[str], combine: str = "max") -> DataFrame:
+    """(page, seam): mean squared difference of opposite edges, over all `values`; the greater of the two pairs, or their mean."""
+    parts = []
+    for axis, across, last in (("r", "c", rows - 1), ("c", "r", cols - 1)):
+        edge = df.where(F.col(axis).isin(0, last)).groupBy(*page, across)
+        at = lambda v, place: F.max(F.when(F.col(axis) == place, F.col(v)))  # noqa: E731, B023
+        square = sum((F.pow(at(v, 0) - at(v, last), F.lit(2.0)) for v in values[1:]), F.pow(at(values[0], 0) - at(values[0], last), F.lit(2.0)))
+        parts.append(edge.agg((square / len(values)).alias("d")).groupBy(*page).agg(F.avg("d").alias("mse")))
+    both = parts[0].unionByName(parts[1]).groupBy(*page)
+    return both.agg((F.max("mse") if combine == "max" else F.avg("mse")).alias("seam"))
+
+
 def per_page(df: DataFrame, page: list[str], kernel, columns: list[str]) -> DataFrame:
     """Run a kernel (2-D array to a dict of 2-D arrays) on each page's h."""
 

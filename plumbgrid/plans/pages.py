@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scalar as fn
 from ..functions import surface
-from ..operators import chain, spatial
+from ..lineage import shared_path
+from ..operators import chain, quality, spatial, store
 from ..session import table
-from .queries import query, shared
+from .queries import query
 from .relations import relation
 
 CHAIN = {"type": "chain", "stages": [{"type": "noise_stack", "params": {"frequency": 1 / 48}}, {"type": "erosion", "params": {"iterations": 10, "thermal_iterations": 5}}, {"type": "dem_feature", "params": {"source": "dome", "strength": 0.5}}]}
@@ -20,11 +22,9 @@ def _pages(spark, sf_dir):
 
 @query()
 def chain_page(spark, sf_dir):
-    """UDF02 to UDF05, UDF07, UDF10, AGG24's input: noise, erosion and a registered raster, page 0 from the store."""
+    """UDF02 to UDF05, UDF07, UDF10, AGG24's input: noise, erosion and a registered raster, through a store of pages."""
     chain.register_source("dome", relation(spark, sf_dir, "grid"), 32, 0.0, -256.0, 1024.0)
-    pages = _pages(spark, sf_dir)
-    stored = pages.where("page_x = 0").withColumns({"r": F.lit(0), "c": F.lit(0), "h": F.lit(1.0)})
-    return chain.bake(pages, CATALOG, 0, 16, 64.0, 7, stored).withColumn("h", F.round("h", 4))
+    return chain.bake(_pages(spark, sf_dir), CATALOG, 0, 16, 64.0, 7, shared_path(spark, "pages")).withColumn("h", F.round("h", 4))
 
 
 @query()
@@ -151,9 +151,30 @@ def surface_maps(spark, sf_dir):
     )
 
 
-# names, jobs, images and caches (FN34, FN36, FN40, FN44; AGG21; AGG32, AGG33)
+# names, jobs, images and caches
 
-shared("key_and_stamp", "SELECT key, concat(CAST(key % 4 AS {s}), ':', CAST(size_bytes AS {s})) AS page_key, coalesce(CASE WHEN key % 5 > 0 THEN 'v1' END, '') <> 'v1' AS stale, CASE WHEN key % 2 = 0 THEN regexp_replace('res://maps/a.json', '^res://', '/world/') ELSE '/abs/a.json' END AS path, CASE WHEN key % 3 = 0 THEN 0 ELSE size_bytes - key END AS duration_ms FROM artifacts".replace("{s}", "VARCHAR(30)"))
-_GRADE = "SELECT CASE passed WHEN 3 THEN 'A' WHEN 2 THEN 'B' WHEN 1 THEN 'C' ELSE 'D' END AS grade, round(cover, 6) AS cover, round(border, 6) AS border, round(hard, 6) AS hard FROM (SELECT cover, border, hard, CASE WHEN cover BETWEEN 0.15e0 AND 0.75e0 THEN 1 ELSE 0 END + CASE WHEN border < 0.05e0 THEN 1 ELSE 0 END + CASE WHEN hard > 0.65e0 THEN 1 ELSE 0 END AS passed FROM (SELECT avg(CASE WHEN alpha > 0 THEN 1e0 ELSE 0e0 END) AS cover, avg(CASE WHEN r IN (0, 31) OR c IN (0, 31) THEN CASE WHEN alpha > 0 THEN 1e0 ELSE 0e0 END END) AS border, avg(CASE WHEN alpha IN (0, 255) THEN 1e0 ELSE 0e0 END) AS hard FROM (SELECT r, c, CASE WHEN h < 60 THEN 0 WHEN h < 90 THEN 255 ELSE 128 END AS alpha FROM grid) a) b) d"
-shared("subject_grade", _GRADE)
-shared("cache_stats", "SELECT CAST(sum(4 * size_bytes) AS BIGINT) AS bytes, CAST(sum(CASE WHEN key % 4 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS in_flight, CAST(sum(CASE WHEN key % 4 = 1 THEN 1 ELSE 0 END) AS BIGINT) AS cached FROM artifacts")
+
+@query("SELECT key, CAST(key % 4 AS VARCHAR) || ':' || CAST(size_bytes AS VARCHAR) || ':' || CAST(CAST(trunc(last_access) AS BIGINT) AS VARCHAR) AS page_key, NOT (key % 5 > 0) AS stale, CASE WHEN key % 2 = 0 THEN CASE WHEN key % 4 = 0 THEN '/engine/worlds/a.json' ELSE '/world/maps/a.json' END ELSE '/abs/a.json' END AS path, CASE WHEN key % 3 = 0 THEN 0 ELSE size_bytes - key % 3 END AS duration_ms FROM artifacts")
+def key_and_stamp(spark, sf_dir):
+    """FN34, FN36, FN40, FN44."""
+    key, size = F.col("key"), F.col("size_bytes")
+    path = F.when(key % 4 == 0, "res://worlds/a.json").when(key % 2 == 0, "res://maps/a.json").otherwise("/abs/a.json")
+    return relation(spark, sf_dir, "artifacts").select(
+        "key", fn.page_key(key % 4, size, F.col("last_access")).alias("page_key"), fn.is_stale(F.when(key % 5 > 0, "v1"), F.lit("v1")).alias("stale"),
+        fn.resolved(path, "/world", "/engine").alias("path"), fn.duration_ms(key % 3, F.lit(0), size).alias("duration_ms"),
+    )
+
+
+@query("SELECT CASE passed WHEN 3 THEN 'A' WHEN 2 THEN 'B' WHEN 1 THEN 'C' ELSE 'D' END AS grade, round(cover, 6) AS cover, round(border, 6) AS border, round(hard, 6) AS hard FROM (SELECT cover, border, hard, CASE WHEN cover BETWEEN 0.15e0 AND 0.75e0 THEN 1 ELSE 0 END + CASE WHEN border < 0.05e0 THEN 1 ELSE 0 END + CASE WHEN hard > 0.65e0 THEN 1 ELSE 0 END AS passed FROM (SELECT avg(CASE WHEN alpha > 0 THEN 1e0 ELSE 0e0 END) AS cover, avg(CASE WHEN r IN (0, 31) OR c IN (0, 31) THEN CASE WHEN alpha > 0 THEN 1e0 ELSE 0e0 END END) AS border, avg(CASE WHEN alpha IN (0, 255) THEN 1e0 ELSE 0e0 END) AS hard FROM (SELECT r, c, CASE WHEN h < 60 THEN 0 WHEN h < 90 THEN 255 ELSE 128 END AS alpha FROM grid) a) b) d")
+def subject_grade(spark, sf_dir):
+    """AGG21."""
+    alpha = F.when(F.col("h") < 60, 0).when(F.col("h") < 90, 255).otherwise(128)
+    out = quality.subject_grade(relation(spark, sf_dir, "grid").withColumns({"img": F.lit(0), "alpha": alpha}), ["img"], 32, 32)
+    return out.select("grade", *[F.round(c, 6).alias(c) for c in ("cover", "border", "hard")])
+
+
+@query("SELECT CAST(sum(4 * size_bytes) AS BIGINT) AS bytes, CAST(sum(CASE WHEN key % 4 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS in_flight, CAST(sum(CASE WHEN key % 4 = 1 THEN 1 ELSE 0 END) AS BIGINT) AS cached FROM artifacts")
+def cache_stats(spark, sf_dir):
+    """AGG32, AGG33."""
+    status = F.when(F.col("key") % 4 == 0, "in_flight").when(F.col("key") % 4 == 1, "cached")
+    return store.cache_stats(relation(spark, sf_dir, "artifacts").withColumn("status", status), "size_bytes", "status")

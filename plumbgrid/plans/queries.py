@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as fn
-from ..operators import quality, raster, spatial, store
+from ..functions import surface
+from ..operators import jobs as job_ops
+from ..operators import materials, quality, raster, rules, spatial, store
+from ..operators import weights as rules_weights
 from ..session import table
-from .relations import duck_sql, relation, spark_sql
+from .relations import duck_sql, relation
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,12 +31,6 @@ def query(oracle: str | None = None):
     return add
 
 
-def shared(name: str, body: str, duck: str | None = None) -> None:
-    """A query that is SQL itself; `duck` where the dialects differ."""
-    QUERIES[name] = lambda spark, sf_dir: spark_sql(spark, sf_dir, body)
-    ORACLES[name] = duck_sql(duck or body)
-
-
 # spatial
 
 
@@ -75,7 +72,14 @@ def index_changes(spark, sf_dir):
     return spatial.remove(moved, points.where("id % 10 = 4"))
 
 
-shared("page_keys", "SELECT id, CAST(floor(x / 32e0) * 32e0 AS DOUBLE) AS page_x, CAST(floor(z / 32e0) * 32e0 AS DOUBLE) AS page_z, round(x / 4e0) * 4e0 AS snap_x, least(greatest((x + 50e0) / 100e0, 0e0), 1e0) AS u, x / 100e0 * 0.5e0 + 0.5e0 AS height01, floor(x / 8e0 + 0.5e0) * 8e0 AS parent_x FROM points")
+
+@query("SELECT id, CAST(floor(x / 32e0) * 32e0 AS DOUBLE) AS page_x, CAST(floor(z / 32e0) * 32e0 AS DOUBLE) AS page_z, round(x / 4e0) * 4e0 AS snap_x, least(greatest((x + 50e0) / 100e0, 0e0), 1e0) AS u, x / 100e0 * 0.5e0 + 0.5e0 AS height01, floor(x / 8e0 + 0.5e0) * 8e0 AS parent_x FROM points")
+def page_keys(spark, sf_dir):
+    """PRJ04 to PRJ06, PRJ15, FN39."""
+    x, z = F.col("x"), F.col("z")
+    columns = {"page_x": fn.page_origin(x, 32.0), "page_z": fn.page_origin(z, 32.0), "snap_x": fn.snap(x, 4.0), "u": fn.world_to_uv(x, -50.0, 50.0), "height01": fn.height01(x, 100.0), "parent_x": surface.parent_snap(x, 4.0)}
+    return relation(spark, sf_dir, "points").select("id", *[c.alias(k) for k, c in columns.items()])
+
 
 
 @query("SELECT frame, 0 AS ring, CAST(px * 64e0 AS DOUBLE) AS page_x, CAST(pz * 64e0 AS DOUBLE) AS page_z FROM (SELECT frame, px, z, unnest(range(CAST(floor((z - 100e0) / 64e0) AS BIGINT), CAST(floor((z + 100e0 - 0.001e0) / 64e0) AS BIGINT) + 1)) AS pz FROM (SELECT frame, z, unnest(range(CAST(floor((x - 100e0) / 64e0) AS BIGINT), CAST(floor((x + 100e0 - 0.001e0) / 64e0) AS BIGINT) + 1)) AS px FROM cameras) a) b")
@@ -146,12 +150,6 @@ def _weights(spark, sf_dir):
     return rows.withColumn("raw", fn.band_weight(*[F.col(c) for c in ("elev", "slope", "lo_e", "hi_e", "band_e", "lo_s", "hi_s", "band_s")]))
 
 
-def _shares(spark, sf_dir):
-    per = Window.partitionBy("id")
-    total = F.sum("raw").over(per)
-    return _weights(spark, sf_dir).withColumn("w", F.when(total <= 1e-9, 1.0 / F.count("*").over(per)).otherwise(F.col("raw") / total))
-
-
 @query(f"SELECT id, biome, round(w, 6) AS w FROM ({_WEIGHT}) t")
 def band_weight(spark, sf_dir):
     """FN05, FN06."""
@@ -161,14 +159,15 @@ def band_weight(spark, sf_dir):
 @query(_SHARE.replace("SELECT raw.id AS id, biome, CASE", "SELECT raw.id AS id, biome, round(CASE").replace("total END AS w", "total END, 6) AS w"))
 def biome_weights(spark, sf_dir):
     """AGG08."""
-    return _shares(spark, sf_dir).select("id", "biome", F.round("w", 6).alias("w"))
+    return rules_weights.shares(_weights(spark, sf_dir), ["id"], "raw").select("id", "biome", F.round("w", 6).alias("w"))
 
 
 @query(_SHARE.replace(") SELECT raw.id", "), share AS (SELECT raw.id", 1) + ") SELECT id, round(sum(w * CASE biome WHEN 'alpine' THEN 0.9e0 WHEN 'forest' THEN 0.4e0 ELSE 0.7e0 END) / sum(w), 6) AS value FROM share WHERE w > 0.001e0 GROUP BY id")
 def slot_blend(spark, sf_dir):
     """AGG09: a weighted mean over the rules that count."""
     value = F.when(F.col("biome") == "alpine", 0.9).when(F.col("biome") == "forest", 0.4).otherwise(0.7)
-    return _shares(spark, sf_dir).where("w > 0.001").groupBy("id").agg(F.round(F.sum(F.col("w") * value) / F.sum("w"), 6).alias("value"))
+    rows = rules_weights.shares(_weights(spark, sf_dir), ["id"], "raw").withColumn("value", value)
+    return rules_weights.weighted_mean(rows, ["id"], "w", "value").select("id", F.round("value", 6).alias("value"))
 
 
 _FX = "(x * 1.15470054e0 - z * (1.15470054e0 * 0.5e0))"
@@ -183,7 +182,14 @@ def surface_scalars(spark, sf_dir):
     return relation(spark, sf_dir, "points").select("id", *[F.round(w[k], 6).alias(k) for k in ("w0", "w1", "w2")], F.round(fn.morph_factor(x, z, 20.0), 6).alias("morph"), F.round(fn.edge_mix(F.abs(x), 8.0), 6).alias("edge"))
 
 
-shared("haze_triplanar", f"SELECT id, round({_step('10e0', '40e0', 'sqrt(x * x + z * z)')}, 6) AS haze, round(pow(abs(x), 4e0) / greatest(pow(abs(x), 4e0) + pow(abs(z), 4e0) + 1e0, 0.0001e0), 6) AS wx, round(x + (z - x) * 0.25e0, 6) AS lerp FROM points")
+
+@query(f"SELECT id, round({_step('10e0', '40e0', 'sqrt(x * x + z * z)')}, 6) AS haze, round(pow(abs(x), 4e0) / greatest(pow(abs(x), 4e0) + pow(abs(z), 4e0) + 1e0, 0.0001e0), 6) AS wx, round(x + (z - x) * 0.25e0, 6) AS lerp FROM points")
+def haze_triplanar(spark, sf_dir):
+    """FN15, FN17, FN19."""
+    x, z = F.col("x"), F.col("z")
+    columns = {"haze": fn.haze(F.sqrt(x * x + z * z), 10.0, 40.0), "wx": fn.triplanar_weights(x, F.lit(1.0), z, 4.0)["x"], "lerp": surface.lerp(x, z, F.lit(0.25))}
+    return relation(spark, sf_dir, "points").select("id", *[F.round(c, 6).alias(k) for k, c in columns.items()])
+
 
 _PART = "CASE WHEN regexp_matches(version, '^[0-9]+(-[^.]*)?\\.[0-9]+(-[^.]*)?\\.[0-9]+(-[^.]*)?(\\..*)?$') THEN CAST(regexp_extract(split_part(version, '.', {0}), '^[0-9]+') AS BIGINT) ELSE 0 END"
 
@@ -249,9 +255,29 @@ def bilinear_sample(spark, sf_dir):
     return rows.select("id", F.round(raster.bilinear(F.col("heights"), 32, 32, (F.col("x") + 50) / 100, (F.col("z") + 50) / 100), 6).alias("h"))
 
 
-shared("raster_stats", "SELECT count(*) AS cells, min(h) AS lo, max(h) AS hi, round(avg(abs(h - 48e0)), 6) AS mean_delta, max(abs(h - 48e0)) AS max_delta, CAST(sum(CASE WHEN abs(h - 48e0) > 0.5e0 THEN 1 ELSE 0 END) AS BIGINT) AS changed FROM grid WHERE h > -9000")
-shared("raster_normalized", "SELECT r, c, round((h - lo) / (hi - lo), 6) AS v, (r + 16) % 32 AS shifted_r, (c + 16) % 32 AS shifted_c FROM grid CROSS JOIN (SELECT min(h) AS lo, max(h) AS hi FROM grid) m")
-shared("seam_score", "SELECT round(greatest((SELECT avg((a.h - b.h) * (a.h - b.h)) FROM grid a JOIN grid b ON a.c = b.c AND a.r = 0 AND b.r = 31), (SELECT avg((a.h - b.h) * (a.h - b.h)) FROM grid a JOIN grid b ON a.r = b.r AND a.c = 0 AND b.c = 31)), 6) AS seam")
+
+@query("SELECT count(*) AS cells, min(h) AS lo, max(h) AS hi, round(avg(abs(h - 48e0)), 6) AS mean_delta, max(abs(h - 48e0)) AS max_delta, CAST(sum(CASE WHEN abs(h - 48e0) > 0.5e0 THEN 1 ELSE 0 END) AS BIGINT) AS changed FROM grid WHERE h > -9000")
+def raster_stats(spark, sf_dir):
+    """AGG24, AGG26: how far the grid is from a level, and its range."""
+    rows = _grid(spark, sf_dir).withColumn("level", F.lit(48.0))
+    both = raster.delta_stats(rows, ["page"], "level", "h").join(raster.value_range(rows, ["page"]), "page")
+    return both.select("cells", "lo", "hi", F.round("mean_delta", 6).alias("mean_delta"), "max_delta", "changed")
+
+
+@query("SELECT r, c, round((h - lo) / (hi - lo), 6) AS v, (r + 16) % 32 AS shifted_r, (c + 16) % 32 AS shifted_c FROM grid CROSS JOIN (SELECT min(h) AS lo, max(h) AS hi FROM grid) m")
+def raster_normalized(spark, sf_dir):
+    """WIN11, AGG29."""
+    rows = raster.normalized_by(_grid(spark, sf_dir), ["page"]).withColumns({"shifted_r": F.col("r"), "shifted_c": F.col("c")})
+    moved = raster.half_shift(_grid(spark, sf_dir).select("r", "c", F.col("r").alias("own_r"), F.col("c").alias("own_c")), 32, 32)
+    moved = moved.select(F.col("own_r").alias("r"), F.col("own_c").alias("c"), F.col("r").alias("shifted_r"), F.col("c").alias("shifted_c"))
+    return rows.select("r", "c", F.round("v", 6).alias("v")).join(moved, ["r", "c"])
+
+
+@query("SELECT round(greatest((SELECT avg((a.h - b.h) * (a.h - b.h)) FROM grid a JOIN grid b ON a.c = b.c AND a.r = 0 AND b.r = 31), (SELECT avg((a.h - b.h) * (a.h - b.h)) FROM grid a JOIN grid b ON a.r = b.r AND a.c = 0 AND b.c = 31)), 6) AS seam")
+def seam_score(spark, sf_dir):
+    """AGG22."""
+    return raster.seam_score(_grid(spark, sf_dir), ["page"], 32, 32, ["h"]).select(F.round("seam", 6).alias("seam"))
+
 
 
 def _kernel(name, kernel, columns, doc):
@@ -265,7 +291,7 @@ def _kernel(name, kernel, columns, doc):
 
 
 _kernel("erosion_page", raster.erode, ["eroded", "drainage", "vx", "vy", "flow_accum"], "WIN07 to WIN09, AGG27.")
-_kernel("thermal_page", lambda h: raster.erode(h, iterations=0), ["eroded"], "WIN08 alone.")
+_kernel("thermal_page", lambda h: raster.erode(h, iterations=0), ["eroded"], "WIN08 alone, 50 slides.")
 _kernel("ridge_page", lambda h: {"ridge": raster.ridges(h.astype(float))}, ["ridge"], "WIN05, AGG29.")
 _kernel("drainage_page", lambda h: {"drainage": raster.drainage(h)}, ["drainage"], "WIN06, AGG28.")
 _kernel("wrapped_blur", lambda h: {"blur": raster.blurred(h.astype(float), 2.0, "wrap")}, ["blur"], "WIN10.")
@@ -295,9 +321,24 @@ def lru_evict(spark, sf_dir):
     return store.keep_newest(relation(spark, sf_dir, "artifacts"), 2_000_000).select("key", "size_bytes", "freed_before")
 
 
-shared("store_size", "SELECT CAST(sum(size_bytes) AS BIGINT) AS bytes, CAST(floor(sum(size_bytes) / 1048576) AS BIGINT) AS mb, count(*) AS n FROM artifacts")
-shared("age_evict", "SELECT key, last_access FROM artifacts WHERE last_access < 930e0")
-shared("lru_count", "SELECT key FROM (SELECT key, row_number() OVER (ORDER BY last_access DESC, key DESC) AS n FROM artifacts) t WHERE n > 100")
+
+@query("SELECT CAST(sum(size_bytes) AS BIGINT) AS bytes, CAST(floor(sum(size_bytes) / 1048576) AS BIGINT) AS mb, count(*) AS n FROM artifacts")
+def store_size(spark, sf_dir):
+    """AGG05."""
+    return store.store_size(relation(spark, sf_dir, "artifacts"))
+
+
+@query("SELECT key, last_access FROM artifacts WHERE last_access < 930e0")
+def age_evict(spark, sf_dir):
+    """SRT08."""
+    return store.unreferenced(relation(spark, sf_dir, "artifacts"), 960.0, 30.0).select("key", "last_access")
+
+
+@query("SELECT key FROM (SELECT key, row_number() OVER (ORDER BY last_access DESC, key DESC) AS n FROM artifacts) t WHERE n > 100")
+def lru_count(spark, sf_dir):
+    """SRT06."""
+    return store.keep_recent(relation(spark, sf_dir, "artifacts"), 100).select("key")
+
 
 
 @query("SELECT key, CAST(sum(value) AS BIGINT) AS total FROM usage GROUP BY key")
@@ -318,11 +359,36 @@ def latest_usage(spark, sf_dir):
     return store.latest_usage(relation(spark, sf_dir, "usage"))
 
 
-shared("top_publishers", "SELECT system, total FROM (SELECT system, CAST(sum(value) AS BIGINT) AS total FROM usage WHERE key = 'draw_calls' GROUP BY system) t ORDER BY total DESC, system LIMIT 3")
-shared("recent_changes", "SELECT id, source FROM changes ORDER BY id DESC LIMIT 100")
-shared("history", "SELECT id, system, value FROM usage WHERE ts >= TIMESTAMP '2024-01-28 00:00:00'")
-shared("owner_counts", "SELECT system, key, count(*) AS n, CAST(sum(value) AS BIGINT) AS bytes, CAST(sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) AS BIGINT) AS large FROM usage GROUP BY system, key")
-shared("leaks", "SELECT key, CAST(sum(CASE WHEN id % 2 = 0 THEN 1 ELSE -1 END) AS BIGINT) AS open FROM usage GROUP BY key HAVING sum(CASE WHEN id % 2 = 0 THEN 1 ELSE -1 END) > 0")
+
+@query("SELECT system, total FROM (SELECT system, CAST(sum(value) AS BIGINT) AS total FROM usage WHERE key = 'draw_calls' GROUP BY system) t ORDER BY total DESC, system LIMIT 3")
+def top_publishers(spark, sf_dir):
+    """SRT02."""
+    return store.top_publishers(relation(spark, sf_dir, "usage"), "draw_calls", 3)
+
+
+@query("SELECT id, source FROM changes ORDER BY id DESC LIMIT 100")
+def recent_changes(spark, sf_dir):
+    """SRT09."""
+    return store.recent(relation(spark, sf_dir, "changes"), 100).select("id", "source")
+
+
+@query("SELECT id, system, value FROM usage WHERE ts >= TIMESTAMP '2024-01-28 00:00:00'")
+def history(spark, sf_dir):
+    """SRT10."""
+    return store.since(relation(spark, sf_dir, "usage"), F.lit("2024-01-28 00:00:00").cast("timestamp")).select("id", "system", "value")
+
+
+@query("SELECT system, key, count(*) AS n, CAST(sum(value) AS BIGINT) AS bytes, CAST(sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) AS BIGINT) AS large FROM usage GROUP BY system, key")
+def owner_counts(spark, sf_dir):
+    """AGG04."""
+    return store.owner_totals(relation(spark, sf_dir, "usage"), ["system", "key"], "value", 50)
+
+
+@query("SELECT key, CAST(sum(CASE WHEN id % 2 = 0 THEN 1 ELSE -1 END) AS BIGINT) AS open FROM usage GROUP BY key HAVING sum(CASE WHEN id % 2 = 0 THEN 1 ELSE -1 END) > 0")
+def leaks(spark, sf_dir):
+    """STR10 in batch form: even readings register, odd ones unregister."""
+    return store.leaks(relation(spark, sf_dir, "usage").withColumn("delta", F.when(F.col("id") % 2 == 0, 1).otherwise(-1)), "key", "delta")
+
 
 
 @query("SELECT c.id AS id, s.sub_id AS sub_id FROM changes c JOIN subscriptions s ON (s.names = '' OR list_contains(string_split(s.names, ','), c.source)) AND (s.sx0 IS NULL OR (c.x0 < s.sx1 AND c.x1 > s.sx0 AND c.z0 < s.sz1 AND c.z1 > s.sz0))")
@@ -332,21 +398,86 @@ def change_match(spark, sf_dir):
     return store.matched_changes(relation(spark, sf_dir, "changes"), subs)
 
 
-shared("job_ready", "SELECT a.key AS key FROM artifacts a WHERE NOT EXISTS (SELECT 1 FROM deps d JOIN artifacts j ON j.key = d.depends_on WHERE d.key = a.key AND j.size_bytes % 3000 <> 0)")
-shared("next_job", "SELECT key FROM artifacts ORDER BY size_bytes, last_access, key LIMIT 1")
-shared("queue_depth", "SELECT size_bytes % 5000 AS priority, count(*) AS n FROM artifacts GROUP BY size_bytes % 5000")
-shared("page_latest", "SELECT a.id AS id, coalesce(g.h, 0e0) AS h FROM points a LEFT JOIN grid g ON g.r = floor(a.x) AND g.c = floor(a.z)")
-shared("layer_windows", "SELECT slot, n, CAST(coalesce(sum(n) OVER (ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first FROM (SELECT slot, count(*) AS n FROM candidates GROUP BY slot) t")
-shared("slot_catalog", "SELECT c.id AS id, c.slot AS slot, coalesce(b.biome, 'any') AS biome, coalesce(b.lo_e, -1e9) AS lo_e, coalesce(b.hi_e, 1e9) AS hi_e FROM candidates c LEFT JOIN bands b ON b.biome = CASE c.slot WHEN 0 THEN 'alpine' WHEN 1 THEN 'shore' END")
-shared("key_difference", "SELECT slot, 'left' AS side FROM (SELECT DISTINCT slot FROM candidates WHERE id % 4 = 0 EXCEPT SELECT DISTINCT slot FROM candidates WHERE grade = 'D') a UNION ALL SELECT slot, 'right' AS side FROM (SELECT DISTINCT slot FROM candidates WHERE grade = 'D' EXCEPT SELECT DISTINCT slot FROM candidates WHERE id % 4 = 0) b")
+
+@query("SELECT a.key AS key FROM artifacts a WHERE NOT EXISTS (SELECT 1 FROM deps d JOIN artifacts j ON j.key = d.depends_on WHERE d.key = a.key AND j.size_bytes % 3000 <> 0)")
+def job_ready(spark, sf_dir):
+    """JOIN14, on jobs whose status and dependencies derive from the artifacts."""
+    jobs = relation(spark, sf_dir, "artifacts").select(F.col("key").alias("id"), F.when(F.col("size_bytes") % 3000 == 0, "completed").otherwise("queued").alias("status"))
+    return job_ops.ready(jobs, relation(spark, sf_dir, "deps").withColumnRenamed("key", "id")).select(F.col("id").alias("key"))
+
+
+@query("SELECT key FROM artifacts ORDER BY size_bytes, last_access, key LIMIT 1")
+def next_job(spark, sf_dir):
+    """SRT11."""
+    jobs = relation(spark, sf_dir, "artifacts").select(F.col("key").alias("id"), F.col("size_bytes").alias("priority"), F.col("last_access").alias("seq"))
+    return job_ops.next_jobs(jobs).select(F.col("id").alias("key"))
+
+
+@query("SELECT size_bytes % 5000 AS priority, count(*) AS n FROM artifacts GROUP BY size_bytes % 5000")
+def queue_depth(spark, sf_dir):
+    """AGG11."""
+    return job_ops.queue_depth(relation(spark, sf_dir, "artifacts").select((F.col("size_bytes") % 5000).alias("priority")))
+
+
+@query("SELECT a.id AS id, coalesce(g.h, 0e0) AS h FROM points a LEFT JOIN grid g ON g.r = floor(a.x) AND g.c = floor(a.z)")
+def page_latest(spark, sf_dir):
+    """JOIN13: the cell of the grid that a point lies in, 0 outside."""
+    cells = relation(spark, sf_dir, "grid").select(F.col("r").cast("bigint").alias("cell_x"), F.col("c").cast("bigint").alias("cell_z"), "h")
+    return spatial.sampled_cells(relation(spark, sf_dir, "points"), cells, 1.0).select("id", "h")
+
+
+@query("SELECT slot, n, CAST(coalesce(sum(n) OVER (ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first FROM (SELECT slot, count(*) AS n FROM candidates GROUP BY slot) t")
+def layer_windows(spark, sf_dir):
+    """AGG12, SRC10."""
+    return materials.layer_windows(relation(spark, sf_dir, "candidates"), ["slot"], "slot")
+
+
+@query("SELECT c.id AS id, c.slot AS slot, CASE c.slot WHEN 0 THEN 'alpine' WHEN 1 THEN 'shore' ELSE 'none' END AS biome, coalesce(b.lo_e, -1e4) AS lo_e, coalesce(b.hi_e, 1e4) AS hi_e, coalesce(b.band_s, 1e0) AS band_s FROM candidates c LEFT JOIN bands b ON b.biome = CASE c.slot WHEN 0 THEN 'alpine' WHEN 1 THEN 'shore' END")
+def slot_catalog(spark, sf_dir):
+    """JOIN04, PRJ12."""
+    slots = relation(spark, sf_dir, "candidates").select("id", "slot", F.when(F.col("slot") == 0, "alpine").when(F.col("slot") == 1, "shore").otherwise("none").alias("biome"))
+    catalog = relation(spark, sf_dir, "bands").withColumn("place", F.lit(0))
+    return materials.slot_bands(slots, catalog, keys=("biome",)).select("id", "slot", "biome", "lo_e", "hi_e", "band_s")
+
+
+@query("SELECT slot, 'left' AS side FROM (SELECT DISTINCT slot FROM candidates WHERE id % 4 = 0 EXCEPT SELECT DISTINCT slot FROM candidates WHERE grade = 'D') a UNION ALL SELECT slot, 'right' AS side FROM (SELECT DISTINCT slot FROM candidates WHERE grade = 'D' EXCEPT SELECT DISTINCT slot FROM candidates WHERE id % 4 = 0) b")
+def key_difference(spark, sf_dir):
+    """SET05."""
+    rows = relation(spark, sf_dir, "candidates")
+    return materials.key_difference(rows.where("id % 4 = 0"), rows.where("grade = 'D'"), ["slot"])
+
 
 
 # quality and rules
 
-shared("grade_histogram", "SELECT slot, coalesce(grade, '-') AS grade, count(*) AS n FROM candidates GROUP BY slot, coalesce(grade, '-')")
-shared("review_counts", "SELECT slot, count(*) AS total, CAST(sum(CASE WHEN grade = 'A' THEN 1 ELSE 0 END) AS BIGINT) AS best, CAST(sum(CASE WHEN grade IN ('C', 'D') THEN 1 ELSE 0 END) AS BIGINT) AS flagged FROM candidates GROUP BY slot")
-shared("candidate_status", "SELECT id, CASE WHEN seam > 0.019e0 THEN 'failed' WHEN grade = 'A' THEN 'candidate' ELSE 'rejected_auto' END AS status FROM candidates")
-shared("promotions", "SELECT id, slot, 'old' AS origin FROM candidates WHERE grade = 'B' AND slot NOT IN (SELECT slot FROM candidates WHERE grade = 'A' AND id % 9 = 0) UNION ALL SELECT id, slot, 'new' AS origin FROM candidates WHERE grade = 'A' AND id % 9 = 0")
+
+@query("SELECT slot, coalesce(grade, '-') AS grade, count(*) AS n FROM candidates GROUP BY slot, coalesce(grade, '-')")
+def grade_histogram(spark, sf_dir):
+    """AGG06."""
+    return materials.grade_histogram(relation(spark, sf_dir, "candidates"), "slot")
+
+
+@query("SELECT slot, count(*) AS total, CAST(sum(CASE WHEN grade = 'A' THEN 1 ELSE 0 END) AS BIGINT) AS best, CAST(sum(CASE WHEN grade = 'A' THEN 0 ELSE 1 END) AS BIGINT) AS flagged FROM candidates GROUP BY slot")
+def review_counts(spark, sf_dir):
+    """AGG07: what is not of grade A is flagged, ungraded ones too."""
+    return materials.review_counts(relation(spark, sf_dir, "candidates"), "slot")
+
+
+@query("SELECT id, CASE WHEN seam > 0.019e0 THEN 'failed' WHEN grade = 'A' THEN 'candidate' ELSE 'rejected_auto' END AS status FROM candidates")
+def candidate_status(spark, sf_dir):
+    """UDF13."""
+    return relation(spark, sf_dir, "candidates").select("id", materials.candidate_status(F.col("seam") > 0.019, F.col("grade")).alias("status"))
+
+
+@query("WITH a AS (SELECT slot, list_sort(list(id)) AS ids FROM candidates WHERE grade = 'A' AND slot % 2 = 0 GROUP BY slot), n AS (SELECT slot, ids, unnest(range(0, least(len(ids), 4))) AS place FROM a) SELECT 's' || slot AS slot, 0 AS place, CAST(id AS VARCHAR) AS id, 's' || slot AS source, 0.5e0 AS weight FROM candidates WHERE grade = 'B' AND slot NOT IN (SELECT slot FROM a) UNION ALL SELECT 's' || slot, CAST(place AS INT), CASE place WHEN 0 THEN 'default' ELSE 'v' || (place - 1) || '_' || ids[place + 1] END, CASE place WHEN 0 THEN 's' || slot ELSE 's' || slot || '_variants/v' || (place - 1) || '_' || ids[place + 1] END, 1e0 FROM n")
+def promotions(spark, sf_dir):
+    """SNK04, VAL14: each slot's candidates of grade A and a small seam replace its variants."""
+    rows = relation(spark, sf_dir, "candidates").select(F.concat(F.lit("s"), "slot").alias("slot"), F.col("id").cast("string").alias("tag"), "id", "grade")
+    best = rows.where("grade = 'A'").groupBy("slot").agg(F.array_sort(F.collect_list("id")).alias("ids"))  # a slot's candidates of the highest grade are a list of bounded use
+    chosen = best.where(F.regexp_extract("slot", "[0-9]+", 0).cast("int") % 2 == 0).select("slot", F.get("ids", 0).cast("string").alias("base"), F.transform(F.slice("ids", 2, 3), lambda i: i.cast("string")).alias("siblings"))
+    manifest = rows.where("grade = 'B'").select("slot", F.lit(0).alias("place"), F.col("tag").alias("id"), F.col("slot").alias("source"), F.lit(0.5).alias("weight"))
+    return materials.promoted(manifest, chosen, rows)
+
 
 _SCORE = "round(least(greatest(1 - seam / 0.02e0, 0e0), 1e0) * 0.4e0 + least(greatest(1 - (periodic - 6) / 19e0, 0e0), 1e0) * 0.4e0 + least(greatest(rich, 0e0), 1e0) * 0.2e0, 4)"
 
@@ -355,7 +486,7 @@ _SCORE = "round(least(greatest(1 - seam / 0.02e0, 0e0), 1e0) * 0.4e0 + least(gre
 def rank_variants(spark, sf_dir):
     """FN20, SRT03, SRT04."""
     rows = relation(spark, sf_dir, "candidates").withColumn("composite", F.round(fn.composite_score(F.col("seam"), F.col("periodic"), F.col("rich")), 4))
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("slot").orderBy(F.desc("composite"), "id"))).where("place <= 3").select("slot", "id", "composite", "place")
+    return quality.ranked(rows, ["slot"], "composite", "id", 3).select("slot", "id", "composite", "place")
 
 
 _HIST = "SELECT img, CAST(least(floor(v * 32e0), 31) AS INT) AS bin, count(*) AS n FROM samples WHERE v >= 0 AND v <= 1 GROUP BY 1, 2"
@@ -386,13 +517,19 @@ def hist_distance(spark, sf_dir):
     return quality.palette_distance(quality.histogram(relation(spark, sf_dir, "samples"), "img", "v", 32), 1, 32).withColumn("distance", F.round("distance", 6))
 
 
-shared("moments", "SELECT img, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd, round(avg(CASE WHEN v > 0.5e0 THEN 1e0 ELSE 0e0 END), 6) AS coverage FROM samples GROUP BY img")
+
+@query("SELECT img, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd, round(avg(CASE WHEN v > 0.5e0 THEN 1e0 ELSE 0e0 END), 6) AS coverage FROM samples GROUP BY img")
+def moments(spark, sf_dir):
+    """AGG16."""
+    out = quality.moments(relation(spark, sf_dir, "samples"), "img", "v", 0.5)
+    return out.select("img", *[F.round(c, 6).alias(c) for c in ("mean", "sd", "coverage")])
+
 
 
 @query()
 def palette_kmeans(spark, sf_dir):
-    """AGG19: five means for each image, in one task an image's histogram of bounded size."""
-    return quality.palette(relation(spark, sf_dir, "samples"), "img", "v", 5)
+    """AGG19: five mean colours for each image of 256 pixels, one image a task's group."""
+    return quality.palette(relation(spark, sf_dir, "pixels"), "img")
 
 
 @query()
@@ -403,24 +540,38 @@ def periodicity(spark, sf_dir):
     return raster.per_page(rows.drop("page_x", "page_z", "x", "z"), ["page"], lambda h: {"peak": np.full(h.shape, quality.periodic(h))}, ["peak"]).groupBy("page").agg(F.round(F.first("peak"), 3).alias("peak"))
 
 
-_RULES = [("error", "grid_n", "p_size % 7 = 0"), ("error", "extent", "p_retailprice > 995e0"), ("warning", "tier", "p_brand = 'Brand#11'"), ("error", "octaves", "p_size > 48")]
+_NOISE = "SELECT p_partkey AS id, CAST(p_size % 20 AS INT) AS octaves, (p_size % 7) / 100e0 AS frequency, 0.5e0 + p_size % 4 AS lacunarity, (p_size % 6) / 5e0 AS gain, p_size % 9 - 1e0 AS amplitude FROM {part}"
+_NOISE_RULES = {"octaves_low": "octaves <= 0", "octaves_high": "octaves > 16", "frequency": "frequency <= 0", "lacunarity": "lacunarity <= 1", "gain": "gain <= 0 OR gain >= 1", "amplitude": "amplitude < 0"}
+_NOISE_ISSUES = "(" + " UNION ALL ".join(f"SELECT id, 'error' AS severity, '{code}' AS code FROM ({_NOISE}) n WHERE {cond}" for code, cond in _NOISE_RULES.items()) + ")"
 
 
-@query(" UNION ALL ".join(f"SELECT p_partkey AS id, '{s}' AS severity, '{c}' AS code FROM {{part}} WHERE {w}" for s, c, w in _RULES))
+@query(f"SELECT id, severity, code FROM {_NOISE_ISSUES} i")
 def rule_issues(spark, sf_dir):
-    """VAL01 to VAL10 share this form: rules as conditions, issues as rows."""
-    return store.issues(table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "id"), [(s, c, F.expr(w)) for s, c, w in _RULES], "id")
+    """VAL02."""
+    return rules.config_issues(spark.sql(_NOISE, part=table(spark, sf_dir, "part")), "noise_stack", "id")
+
+
+
+@query(f"SELECT severity, count(*) AS n FROM {_NOISE_ISSUES} t GROUP BY severity")
+def issue_counts(spark, sf_dir):
+    """AGG10."""
+    return store.issue_counts(rule_issues(spark, sf_dir))
+
+
+@query("SELECT d.key AS key, d.depends_on AS depends_on FROM deps d LEFT JOIN (SELECT key FROM artifacts WHERE size_bytes > 5000) a ON a.key = d.depends_on WHERE a.key IS NULL")
+def missing_references(spark, sf_dir):
+    """JOIN10."""
+    return materials.missing_references(relation(spark, sf_dir, "deps"), relation(spark, sf_dir, "artifacts").where("size_bytes > 5000"), "depends_on", "key").select("key", "depends_on")
+
 
 
-shared("issue_counts", f"SELECT severity, count(*) AS n FROM ({' UNION ALL '.join(f"SELECT '{s}' AS severity FROM {{part}} WHERE {w}" for s, c, w in _RULES)}) t GROUP BY severity")
-shared("missing_references", "SELECT d.key AS key, d.depends_on AS depends_on FROM deps d LEFT JOIN (SELECT key FROM artifacts WHERE size_bytes > 5000) a ON a.key = d.depends_on WHERE a.key IS NULL")
+_LINT = "CASE WHEN regexp_matches(code, '\\bprint\\(') THEN 'print' WHEN regexp_matches(code, '\\bprints\\(') THEN 'prints' END"
+_LINT_LINES = "replace(replace(text, 'token = ', 'print('), 'Released', 'prints(')"
 
 
-@query("SELECT doc_id, CAST(n AS INT) AS line, rule FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM {documents}) t, (VALUES ('license', '[Ll]icen[sc]e'), ('token', 'token *='), ('pipe', ' \\| ')) AS r(rule, pattern) WHERE regexp_matches(split_part(line, '#', 1), pattern)")
+@query(f"SELECT file, line, call FROM (SELECT 'd' || doc_id || '.gd' AS file, CAST(n AS INT) AS line, {_LINT} AS call FROM (SELECT doc_id, n, split_part(line, '#', 1) AS code, line FROM (SELECT doc_id, unnest(string_split({_LINT_LINES}, chr(10))) AS line, generate_subscripts(string_split({_LINT_LINES}, chr(10)), 1) AS n FROM {{documents}}) t WHERE NOT contains(line, '# LINT_OK')) q) r WHERE call IS NOT NULL")
 def text_lint(spark, sf_dir):
-    """FN42, VAL13, SRC15: patterns line by line, what follows a # left out."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    code = F.split_part("line", F.lit("#"), F.lit(1))
-    rules = {"license": "[Ll]icen[sc]e", "token": "token *=", "pipe": r" \| "}
-    hits = F.array_compact(F.array(*[F.when(code.rlike(p), F.lit(k)) for k, p in rules.items()]))
-    return lines.select("doc_id", (F.col("n") + 1).alias("line"), F.explode(hits).alias("rule"))
+    """FN42, VAL13, SRC15: forbidden calls in lines of texts, in which two frequent phrases stand for calls."""
+    text = F.replace(F.replace(F.col("text"), F.lit("token = "), F.lit("print(")), F.lit("Released"), F.lit("prints("))
+    lines = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id", F.lit(".gd")).alias("file"), F.posexplode(F.split(text, "\n")).alias("n", "text"))
+    return rules.log_lint(lines.select("file", (F.col("n") + 1).alias("line"), "text"))

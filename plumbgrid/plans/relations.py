@@ -37,6 +37,7 @@ RELATIONS: dict[str, str | tuple[str, str]] = {
     ),
     "candidates": "SELECT doc_id AS id, doc_id % 5 AS slot, CASE WHEN quality = 1 AND toxic = 0 THEN 'A' WHEN quality = 1 THEN 'B' WHEN toxic = 0 THEN 'C' WHEN toxic = 1 THEN 'D' END AS grade, doc_id % 17 / 850e0 AS seam, 6e0 + doc_id % 23 AS periodic, doc_id % 11 / 10e0 AS rich FROM {labels}",
     "samples": "SELECT l_linenumber AS img, l_discount * 9e0 AS v FROM {lineitem}",
+    "pixels": "SELECT CAST(floor(p_partkey / 256) AS BIGINT) AS img, CAST(floor(p_partkey % 256 / 16) AS INT) AS r, CAST(p_partkey % 16 AS INT) AS c, CAST(p_partkey * 7 % 256 AS INT) AS red, CAST(p_size * 5 % 256 AS INT) AS green, CAST(floor(p_retailprice) % 256 AS INT) AS blue FROM {part}",
     "versions": "SELECT p_partkey AS id, CASE p_size % 6 WHEN 0 THEN '0.' || CAST(p_size % 4 AS VARCHAR(9)) || '.1' WHEN 1 THEN '1.2.3-beta.1' WHEN 2 THEN '2.x.1' WHEN 3 THEN CAST(p_size % 3 AS VARCHAR(9)) || '.4.0' WHEN 4 THEN '1.2' ELSE '1.10.0' END AS version FROM {part}",
 }
 RELATIONS["versions"] = tuple(RELATIONS["versions"].replace("VARCHAR(9)", kind) for kind in ("STRING", "VARCHAR"))
@@ -69,11 +70,6 @@ def with_relations(body: str, dialect: int) -> str:
     return sql
 
 
-def spark_sql(spark: SparkSession, sf_dir: str, body: str) -> DataFrame:
-    sql = with_relations(body, 0)
-    return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in named_in(sql)})
-
-
 def duck_sql(body: str) -> str:
     sql = with_relations(body, 1)
     return sql.format(**{t: t for t in named_in(sql)}) if named_in(sql) else sql
