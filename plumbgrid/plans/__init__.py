@@ -1,3 +1,3 @@
 """Derived relations and the registered queries; importing the package registers all of them."""
 
-from . import pages, queries  # noqa: F401
+from . import more, pages, queries  # noqa: F401

@@ -108,13 +108,6 @@ def lattice_hash(spark, sf_dir):
     return keys.select("id", fn.wang_hash(F.col("id")).alias("hash"))
 
 
-@query()
-def noise_page(spark, sf_dir):
-    """SRC01, FN02 to FN04: pages of fractal noise at the cameras."""
-    pages = spatial.page_cover(relation(spark, sf_dir, "cameras"), 64.0, 64.0).select("page_x", "page_z").distinct()
-    return raster.noise_pages(pages, 16, 64.0, seed=42, frequency=1 / 64).select("page_x", "page_z", "r", "c", F.round("h", 4).alias("h"))
-
-
 _HUGE = "CAST(({} * CAST({} AS HUGEINT)) % 4294967296 AS BIGINT)"
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from ..lineage import qualified
 from . import png
 
 _BAND = "elevation_m ARRAY<DOUBLE>, slope_deg ARRAY<DOUBLE>, band_width_elevation_m DOUBLE, band_width_slope_deg DOUBLE"
@@ -133,10 +134,31 @@ def slot_index(spark: SparkSession, path: str, before: DataFrame | None = None)
 def candidate_index(spark: SparkSession, path: str) -> DataFrame:
     """SRC13: (file, biome, slot, id, entry) of candidate indexes; files that don't parse give none."""
     schema = "biome STRING, slot STRING, candidates MAP<STRING, STRUCT<prompt: STRING, size: INT, grade: STRING, failed_checks: ARRAY<STRING>, status: STRING, generated_at: STRING>>"
-    rows = catalog_text(spark, path, schema).where("value IS NOT NULL")
+    rows = hidden_text(spark, path).select("file", F.from_json("value", schema).alias("value")).where("value.candidates IS NOT NULL")
     return rows.select("file", "value.biome", "value.slot", F.explode("value.candidates").alias("id", "entry"))
 
 
+def hidden_text(spark: SparkSession, path: str) -> DataFrame:
+    """(file, value) of files whose names Spark's readers skip, as they begin with an underscore: listed by the driver, read in tasks."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)
+    names = [(qualified(spark, f.getPath().toString()),) for f in found or []]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for pdf in batches:
+            out = []
+            for name in pdf.file:
+                store, at = fs.FileSystem.from_uri(name)
+                with store.open_input_file(at) as f:
+                    out.append((name, f.read().decode("utf-8", "replace")))
+            yield pd.DataFrame(out, columns=["file", "value"])
+
+    listed = spark.createDataFrame(names, "file string")
+    return listed.repartition(max(1, min(len(names), 200))).mapInPandas(run, "file string, value string")
+
+
 def version(spark: SparkSession, path: str) -> DataFrame:
     """SRC16: (file, version): the value of the first `version="..."` line, 0.0.0 without one."""
     rows = spark.read.text(path, wholetext=True)

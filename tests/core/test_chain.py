@@ -9,7 +9,7 @@ from plumbgrid.functions.scalar import np_fbm
 from plumbgrid.operators import chain, raster
 
 NOISE = {"type": "noise_stack", "params": {"frequency": 1 / 32}}
-EROSION = {"type": "erosion", "params": {"iterations": 3, "thermal_iterations": 1}}
+EROSION = {"type": "erosion", "params": {"iterations": 3, "thermal_iterations": 1, "rain_rate": 0.02, "gravity": 9.0, "seed": 3, "not_known": 1}}
 
 
 def pages(spark, *xs):
@@ -30,28 +30,59 @@ def test_chain_is_noise_then_erosion(spark):
     for x in (0.0, 64.0):
         rows = got[got.page_x == x].sort_values(["r", "c"])
         h = 50 * np_fbm(x + rows.c.to_numpy() * (64 / 7), rows.r.to_numpy() * (64 / 7), frequency=1 / 32, seed=5)
-        eroded = raster.erode(h.astype(np.float32).reshape(8, 8), iterations=3, thermal_iterations=1)["eroded"]
+        eroded = raster.erode(h.astype(np.float32).reshape(8, 8), iterations=3, thermal_iterations=1, rain_rate=0.02)["eroded"]
         assert np.allclose(rows.h.to_numpy().reshape(8, 8), eroded, atol=1e-4)
 
 
-def test_feature_of_a_registered_source(spark):
-    flat = raster.grid(spark, 4).withColumn("h", F.lit(1.0) + F.col("r") * 0)
-    chain.register_source("flat", flat, 4, -1000.0, -1000.0, 4000.0)
-    kernel = lambda name: {"type": "chain", "stages": [NOISE, {"type": "dem_feature", "params": {"source": name, "mode": "ridge_emphasis", "strength": 2.0}}]}
-    base = {(r.r, r.c): r.h for r in chain.run_chain(pages(spark, 0), NOISE, 4, 16.0).collect()}
-    got = {(r.r, r.c): r.h for r in chain.run_chain(pages(spark, 0), kernel("flat"), 4, 16.0).collect()}
-    assert all(abs(got[k] - v - 2) < 1e-9 for k, v in base.items())
+@pytest.mark.parametrize("mode", raster.MODES)
+def test_feature_of_a_registered_source(spark, mode):
+    """The feature is computed from the source's heights, then sampled and blended by mode and by the noise's amplitude."""
+    made = np.random.default_rng(2).normal(size=(6, 6)) * 20
+    chain.register_source("hills", spark.createDataFrame([(r, c, float(v)) for (r, c), v in np.ndenumerate(made)], "r int, c int, h double"), 6, -1000.0, -1000.0, 2000.0)
+    noise = {"type": "noise_stack", "params": {"frequency": 1 / 32, "amplitude": 10.0, "other": 1}}
+    kernel = lambda name: {"type": "chain", "stages": [noise, {"type": "dem_feature", "params": {"source": name, "mode": mode, "strength": 0.5}}]}
+    base = {(r.r, r.c): r for r in chain.run_chain(pages(spark, 300), noise, 4, 60.0).collect()}
+    got = {(r.r, r.c): r.h for r in chain.run_chain(pages(spark, 300), kernel("hills"), 4, 60.0).collect()}
+    feature = raster.feature(made, mode)
+    for k, row in base.items():
+        fx, fy = ((v + 1000) / 2000 * 5 for v in (row.x, row.z))
+        x, y = int(fx), int(fy)
+        u, v = fx - x, fy - y
+        at = (feature[y, x] * (1 - u) + feature[y, x + 1] * u) * (1 - v) + (feature[y + 1, x] * (1 - u) + feature[y + 1, x + 1] * u) * v
+        if mode == "dem_height":
+            expected = row.h + (at - (made.min() + made.max()) / 2 - row.h) * 0.5
+        else:
+            expected = row.h + (at - (0 if mode == "ridge_emphasis" else 0.5)) * 10 * 0.5
+        assert got[k] == pytest.approx(expected)
     chain.clear_sources()
-    assert {(r.r, r.c): r.h for r in chain.run_chain(pages(spark, 0), kernel("flat"), 4, 16.0).collect()} == base
+    assert {(r.r, r.c): r.h for r in chain.run_chain(pages(spark, 300), kernel("hills"), 4, 60.0).collect()} == {k: r.h for k, r in base.items()}
+
+
+def test_bake_keeps_pages(spark, tmp_path, monkeypatch):
+    store, catalog = str(tmp_path / "store"), [{"name": "a", "kernel": NOISE}]
+    plain = {(r.page_x, r.r, r.c): r.h for r in chain.bake(pages(spark, 0, 64), catalog, 0, 4, 16.0, 1).collect()}
+    first = {(r.page_x, r.r, r.c): r.h for r in chain.bake(pages(spark, 0, 64), catalog, 0, 4, 16.0, 1, store).collect()}
+    assert first == plain and len(first) == 32
+    asked = []
+    real = chain.run_chain
+    monkeypatch.setattr(chain, "run_chain", lambda pages, *rest: asked.append(sorted(r.page_x for r in pages.collect())) or real(pages, *rest))
+    again = {(r.page_x, r.r, r.c): r.h for r in chain.bake(pages(spark, 0, 64, 128), catalog, 0, 4, 16.0, 1, store).collect()}
+    assert asked == [[128.0]] and {k: again[k] for k in first} == first and len(again) == 48
+    # what a page is made from is in its key
+    for changed in ({"seed": 2}, {"n": 5}, {"catalog": [{"name": "a", "kernel": {"type": "noise_stack", "params": {"frequency": 1 / 31}}}]}):
+        asked.clear()
+        chain.bake(pages(spark, 0), changed.get("catalog", catalog), 0, changed.get("n", 4), 16.0, changed.get("seed", 1), store).collect()
+        assert asked == [[0.0]]
+    kept = spark.read.parquet(store)
+    assert kept.count() == 6 and kept.first().metadata["stages"] == "noise_stack"
+    with pytest.raises(IndexError):
+        chain.bake(pages(spark, 0), catalog, 1, 4, 16.0)
+    assert chain.bake(pages(spark), catalog, 0, 4, 16.0).count() == 0
 
 
-def test_bake_takes_stored_pages(spark):
-    store = pages(spark, 0, 640).withColumns({"r": F.lit(0), "c": F.lit(0), "h": F.lit(9.0)})
-    got = chain.bake(pages(spark, 0, 64), [{"kernel": NOISE}], 0, 4, 16.0, 1, store).collect()
-    assert [r.h for r in got if r.page_x == 0] == [9.0] and len(got) == 17
-    with pytest.raises(IndexError):
-        chain.bake(pages(spark, 0), [{"kernel": NOISE}], 1, 4, 16.0)
-    assert chain.bake(pages(spark), [{"kernel": NOISE}], 0, 4, 16.0).count() == 0
+def test_a_check_that_fails_when_run(spark):
+    checks = {"late": lambda s: s.range(3).selectExpr("'error' AS severity", "CAST(raise_error('x') AS STRING) AS code"), "fine": lambda s: s.range(1).selectExpr("'info' AS severity", "'fine.one' AS code")}
+    assert sorted(r.code for r in chain.run_checks(spark, checks).collect()) == ["fine.one", "late.check_crashed"]
 
 
 def test_requests_return_errors(spark):

@@ -45,8 +45,22 @@ def test_files(spark, tmp_path):
 
 
 def drained(df, name, mode="append"):
+    df.sparkSession.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        return _drained(df, name, mode)
+    finally:
+        df.sparkSession.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def _drained(df, name, mode):
+    """Until the query ends, or, with timers that never let it end, until a batch has come after the one with the rows."""
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination(90)
+    for _ in range(40):
+        if q.awaitTermination(1):
+            break
+        if any(p["numInputRows"] for p in q.recentProgress) and not q.lastProgress["numInputRows"]:
+            break
+    q.stop()
     return q
 
 
@@ -70,3 +84,53 @@ def test_coalesced(spark, tmp_path):
     df.coalesce(1).write.parquet(str(tmp_path / "r"))
     drained(events.coalesced_usage(spark.readStream.schema(df.schema).parquet(str(tmp_path / "r"))), "coalesced")
     assert sorted((r.system, r.value) for r in spark.table("coalesced").where("NOT coalesced").collect()) == [("a", 0), ("a", 3), ("a", 5), ("b", 7)]
+
+
+def test_log_lint(spark):
+    from plumbgrid.operators import rules
+
+    text = ["print('x')", "  push_error(a) ; print(b)", "# print(1)", "x = print_msg(1)", "prints(1) # LINT_OK", "a # print(", "", "printt ( 1 )", "printt(2)"]
+    rows = [(f, k + 1, t) for f in ("src/a.gd", "src/Log.gd", "src/tests/b.gd") for k, t in enumerate(text)]
+    got = rules.log_lint(spark.createDataFrame(rows, "file string, line int, text string")).collect()
+    assert sorted(map(tuple, got)) == [("src/a.gd", 1, "print"), ("src/a.gd", 2, "print"), ("src/a.gd", 9, "printt")]
+
+
+def test_change_log(spark, tmp_path):
+    log = events.ChangeLog(str(tmp_path / "log"), ["ts", "source"])
+    df = spark.createDataFrame([(k % 7, f"s{k}") for k in range(20)], "ts long, source string")
+    df.repartition(4).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
+    q = stream.writeStream.foreachBatch(log.publish).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    rows = log.history(spark).collect()
+    assert [r.id for r in rows] == list(range(1, 21)) and {r.source for r in rows} == {f"s{k}" for k in range(20)}
+    log.publish(df.limit(3), 1)  # a batch that runs again gets its own ids and replaces its rows
+    assert [r.id for r in log.history(spark, 5).collect()] == sorted(r.id for r in log.history(spark, 5).collect())
+    first, second = log.subscribe(["s1"]), log.subscribe(region=(0.0, 0.0, 1.0, 1.0), dispatch="job")
+    assert (first, second) == (1, 2) and log.unsubscribe(1) and not log.unsubscribe(1) and [r.sub_id for r in log.table(spark).collect()] == [2]
+    with pytest.raises(ValueError):
+        log.subscribe(dispatch="later")
+
+
+def test_alerts_and_residency(spark, tmp_path):
+    rows = [("w", "k", 10, f"2024-01-01 00:00:{s:02d}") for s in (0, 2, 4, 5, 6, 11, 12)] + [("w", "k", 3, "2024-01-01 00:00:30"), ("v", "j", 9, "2024-01-01 00:00:01"), ("w", "j", 8, "2024-01-01 00:00:05")]
+    df = spark.createDataFrame(rows, "scope string, key string, total long, t string").selectExpr("scope", "key", "total", "CAST(t AS TIMESTAMP) AS ts")
+    df.coalesce(1).write.parquet(str(tmp_path / "t"))
+    drained(events.over_budget_alerts(spark.readStream.schema(df.schema).parquet(str(tmp_path / "t")), {"k": 5, "j": 7}), "alerts")
+    got = sorted((r.scope, r.ts.second, r.over) for r in spark.table("alerts").collect())
+    assert got == [("v", 1, ["j"]), ("w", 0, ["k"]), ("w", 5, ["j", "k"]), ("w", 11, ["k"])]
+    frames = spark.createDataFrame([(0, 1, ["a", "b"]), (0, 2, ["b", "c"]), (0, 3, []), (1, 1, ["z"])], "ring int, frame long, keys array<string>")
+    frames.coalesce(1).write.parquet(str(tmp_path / "f"))
+    drained(events.residency(spark.readStream.schema(frames.schema).parquet(str(tmp_path / "f"))), "residency")
+    got = sorted((r.ring, r.frame, r.loads, r.evicts) for r in spark.table("residency").collect())
+    assert got == [(0, 1, ["a", "b"], []), (0, 2, ["c"], ["a"]), (0, 3, [], ["b", "c"]), (1, 1, ["z"], [])]
+
+
+def test_usage_history(spark, tmp_path):
+    keep = events.usage_history(str(tmp_path / "h"), 3)
+    for n in range(6):
+        keep(spark.createDataFrame([("k", n)], "key string, total int"), n)
+    assert {r.total for r in spark.read.parquet(str(tmp_path / "h")).collect()} == {3, 4, 5}
+    lines = spark.createDataFrame([("WARN", "a"), ("INFO", "b"), ("ERROR", "c")], "level string, line string")
+    events.routed(lines, str(tmp_path / "out"), str(tmp_path / "err"))
+    assert {r.value for r in spark.read.text(str(tmp_path / "err")).collect()} == {"a", "c"} and spark.read.text(str(tmp_path / "out")).first().value == "b"
