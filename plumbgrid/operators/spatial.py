@@ -7,7 +7,6 @@ sort-merge join, never as a nested loop over all pairs.
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -109,7 +108,7 @@ def rect_overlaps(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
 def nearest_join(points: DataFrame, queries: DataFrame, k: int, size: float) -> DataFrame:
     """The k nearest points of each query (qid, qx, qz), exactly: qid, id, d2, rank; ties go to the lesser id.
 
-    Points are counted by cells, and cells by those of the next level. Each query takes the finest level at which its
+    Points are counted by cells, and cells by those of each coarser level. Each query takes the finest level at which its
     cell and the eight around it hold k points: those lie within the diagonal of two cells, which is its radius. One
     radius join then finds all candidates, and the points are read twice in all, whatever the distances.
     """
@@ -119,11 +118,10 @@ def nearest_join(points: DataFrame, queries: DataFrame, k: int, size: float) ->
         return spark.createDataFrame([], schema)
     span = max(bounds[1] - bounds[0], bounds[3] - bounds[2])
     top = max(0, math.ceil(math.log2(max(span, size) / size)) + 1)
-    counts = [cut_lineage(cells_of(points, size).groupBy("cell_x", "cell_z").agg(F.count("*").alias("n")), "cells")]
-    for _ in range(top):  # half as many cells along a side each time
-        coarser = counts[-1].groupBy(F.floor(F.col("cell_x") / 2).alias("cell_x"), F.floor(F.col("cell_z") / 2).alias("cell_z")).agg(F.sum("n").alias("n"))
-        counts.append(cut_lineage(coarser, "cells"))
-    every = reduce(DataFrame.unionByName, [c.withColumn("level", F.lit(level)) for level, c in enumerate(counts)])
+    cells = cut_lineage(cells_of(points, size).groupBy("cell_x", "cell_z").agg(F.count("*").alias("n")), "cells")
+    wide = F.pow(F.lit(2.0), F.col("level"))  # half as many cells along a side at each level
+    every = cells.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top))))
+    every = every.groupBy("level", F.floor(F.col("cell_x") / wide).cast("bigint").alias("cell_x"), F.floor(F.col("cell_z") / wide).cast("bigint").alias("cell_z")).agg(F.sum("n").alias("n"))
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     probes = _cells_at(queries.select("qid", "qx", "qz"), size, list(range(top + 1)), "qx", "qz").withColumn("a", around)
     probes = probes.select("qid", "level", (F.col("cell_x") + F.col("a.i")).alias("cell_x"), (F.col("cell_z") + F.col("a.j")).alias("cell_z"))
