@@ -49,6 +49,25 @@ def open_file(path: str, mode: str = "rb"):
     return store.open_output_stream(place)
 
 
+def trimmed(run):
+    """A function of batches after which the worker gives its free memory back: workers live on between stages, and what one stage freed would count beside the next one's."""
+
+    def wrapped(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def text_or_empty(col: str | Column) -> Column:
     """Null texts count as empty."""
     col = column(col) if isinstance(col, str) else col

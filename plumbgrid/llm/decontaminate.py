@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, load, open_file, schema_of, shared_path, whole_row
+from .common import column, load, open_file, schema_of, shared_path, trimmed, whole_row
 
 WINDOW = 13
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 19
 #: Bytes of benchmark text that one pass sends to the tasks.
 BLOCK_BYTES = 32 << 20
 #: Every byte that belongs to no word becomes a space, A-Z become a-z.
@@ -215,7 +215,7 @@ def _scan(rows: DataFrame, blocks: list, window: int, shard_words: int) -> DataF
         if texts:
             yield shard(docs, texts)
 
-    return rows.mapInArrow(run, schema_of("doc", rows.schema["doc"].dataType, _SCANNED))
+    return rows.mapInArrow(trimmed(run), schema_of("doc", rows.schema["doc"].dataType, _SCANNED))
 
 
 def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int):

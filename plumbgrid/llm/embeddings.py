@@ -27,7 +27,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, cut_lineage, file_system, load, release, scratch, shared_path
+from .common import column, cut_lineage, file_system, load, release, scratch, shared_path, trimmed
 from .components import components, union
 
 COSINE = 0.9
@@ -233,7 +233,7 @@ def links(one: DataFrame, cosine: float, blocks: int, tile: int) -> DataFrame:
             sample = some.toArrow()["embedding"].combine_chunks().flatten().to_numpy().reshape(-1, dims)
             if len(sample):
                 trees[dims] = cuts(rotated(sample), 1 << max(0, (-(-n // tile) - 1).bit_length()))
-    dealt = cut_lineage(rows.mapInArrow(_deal(trees), "node long, n long, dims int, embedding array<double>, leaf long"), "dealt")
+    dealt = cut_lineage(rows.mapInArrow(trimmed(_deal(trees)), "node long, n long, dims int, embedding array<double>, leaf long"), "dealt")
     # a row a leaf: tiles are numbered leaf by leaf
     placed, tiles = [], dict.fromkeys(counts, 0)
     for dims, leaf, n in sorted(map(tuple, dealt.groupBy("dims", "leaf").count().collect())):
@@ -249,10 +249,10 @@ def links(one: DataFrame, cosine: float, blocks: int, tile: int) -> DataFrame:
     known = dealt_to.sparkSession.createDataFrame([(d, t, n) for d, n in tiles.items() for t in range(n)], "dims int, tile int, tiles int")
     bounds = shared_path(spark, "bounds")
     parts = max(1, min(sum(tiles.values()), 2000))
-    known.repartition(parts).mapInArrow(_bounds(folder, cosine, blocks), _BOUNDS).write.parquet(bounds)
+    known.repartition(parts).mapInArrow(trimmed(_bounds(folder, cosine, blocks)), _BOUNDS).write.parquet(bounds)
     plan = known.select("*", F.explode(F.sequence(F.lit(0), F.expr("tiles div 2").cast("int"), F.lit(RUN))).alias("first"))
     rows_of_plan = sum(n * (n // 2 // RUN + 1) for n in tiles.values())
-    return plan.repartition(max(1, min(rows_of_plan, 10_000))).mapInArrow(_compared(folder, bounds, cosine, blocks), "node long, links long, to long")
+    return plan.repartition(max(1, min(rows_of_plan, 10_000))).mapInArrow(trimmed(_compared(folder, bounds, cosine, blocks)), "node long, links long, to long")
 
 
 def embedding_groups(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:

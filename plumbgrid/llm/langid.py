@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, load, schema_of, whole_row
+from .common import column, load, schema_of, trimmed, whole_row
 from .decontaminate import words
 
 DIM = 1 << 16
@@ -301,7 +301,7 @@ def label(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays(columns, names=["doc", "lang_pred", "score", "runs"][: len(columns)])
 
     schema = schema_of("doc", rows.schema["doc"].dataType, "lang_pred string, score double" + ", runs array<struct<word:int,words:int,lang:string>>" * runs)
-    return rows.mapInArrow(run, schema).withColumnRenamed("doc", id_col)
+    return rows.mapInArrow(trimmed(run), schema).withColumnRenamed("doc", id_col)
 
 
 def in_one_language(docs: DataFrame, model: Model | None, least: float, text_col: str = "text") -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, cut_lineage, load, schema_of, scratch, text_or_empty, whole_row
+from .common import column, cut_lineage, load, schema_of, scratch, text_or_empty, trimmed, whole_row
 from .components import components, union
 
 SHINGLE = 4
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.fromiter((fingerprint(t.as_py() or b"", shingle, seed) for t in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc", "fp"])
 
-    return rows.mapInArrow(run, schema_of("doc", rows.schema["doc"].dataType, "fp long"))
+    return rows.mapInArrow(trimmed(run), schema_of("doc", rows.schema["doc"].dataType, "fp long"))
 
 
 def masks(radius: int = RADIUS) -> list[int]:
@@ -143,7 +143,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, most: int = MOS
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = keyed.repartition(parts, "t", "key").sortWithinPartitions("t", "key")
     schema = "a long, b long, t int, kind tinyint"
-    found = cut_lineage(keyed.mapInArrow(_bucket_edges(radius, most), schema), "buckets")
+    found = cut_lineage(keyed.mapInArrow(trimmed(_bucket_edges(radius, most)), schema), "buckets")
     edges = found.where("kind = 0").select("a", "b")
     rest = found.where("kind = 1").select("t", F.col("b").alias("key"), F.col("a").alias("fp"))
     if rest.isEmpty():
@@ -155,7 +155,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, most: int = MOS
     rest = rest.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     rest = rest.select("t", "key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "fp").repartition(parts, "t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j")
     rest = rest.select(F.lit(0).alias("t"), F.xxhash64("t", "key", "i", "j").alias("key"), "fp")
-    return edges.unionByName(rest.mapInArrow(_bucket_edges(radius, 1 << 62), schema).where("kind = 0").select("a", "b"))
+    return edges.unionByName(rest.mapInArrow(trimmed(_bucket_edges(radius, 1 << 62)), schema).where("kind = 0").select("a", "b"))
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS) -> DataFrame:

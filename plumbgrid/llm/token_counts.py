@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, load, schema_of
+from .common import column, load, schema_of, trimmed
 from .token_files import encoder
 from .tokenizing import VOCABULARY, Cuts, definition
 
@@ -57,7 +57,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 np.add.at(n_tokens, owner[a:b], enc.count(texts.slice(a, b - a)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes), pa.array(n_tokens)], names=["id", "n_bytes", "n_tokens"])
 
-    counted = rows.mapInArrow(count, schema_of("id", rows.schema["__id"].dataType, "n_bytes long, n_tokens long"))
+    counted = rows.mapInArrow(trimmed(count), schema_of("id", rows.schema["__id"].dataType, "n_bytes long, n_tokens long"))
     return counted.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 

@@ -20,7 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType, LongType
 
 from . import pfor
-from .common import column, cut_lineage, file_system, load, qualified, schema_of, shared_path
+from .common import column, cut_lineage, file_system, load, qualified, schema_of, shared_path, trimmed
 from .tokenizing import VOCABULARY, definition, tokenizer
 
 END = 2
@@ -198,7 +198,7 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
         yield pa.RecordBatch.from_pydict({"file": [part], "name": [f"tokens-{part:06d}.pfr"], "n_docs": [len(writer.lengths)], "n_ids": [writer.n_ids]})
 
     # written once: later jobs read the manifest's own file
-    return cut_lineage(rows.mapInArrow(write, "file long, name string, n_docs long, n_ids long"), "manifest")
+    return cut_lineage(rows.mapInArrow(trimmed(write), "file long, name string, n_docs long, n_ids long"), "manifest")
 
 
 def read_token_files(manifest: DataFrame, folder: str, id_type: DataType = LongType()) -> DataFrame:
@@ -233,7 +233,7 @@ def read_token_files(manifest: DataFrame, folder: str, id_type: DataType = LongT
                         )
                         at = to
 
-    return frame.mapInArrow(read, schema)
+    return frame.mapInArrow(trimmed(read), schema)
 
 
 def token_output(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", end: int = END, vocabulary: str = VOCABULARY, folder: str | None = None) -> DataFrame:
