@@ -30,6 +30,8 @@ CACHE_WORDS = 500_000
 CACHE_PARTS = 50_000
 #: Texts that are encoded together.
 AT_ONCE = 2048
+#: Words that are encoded in one line.
+TOGETHER = 256
 
 
 class Encoder:
@@ -40,6 +42,9 @@ class Encoder:
         self.known: dict[str, bytes] = {}  # by part: first words, marks, and what is encoded whole
         # words behind a space, and their ids one after the other; the empty word has none
         self.words, self.sizes, self.ids = pa.array([""]), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        vocab = tok.get_vocab()
+        self.begins = np.zeros(max(vocab.values(), default=0) + 1, bool)  # tokens that begin with a space
+        self.begins[[i for token, i in vocab.items() if token.startswith(_SPACE)]] = True
 
     def _batch(self, parts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for at in range(0, len(parts), 4096) for e in self.tok.encode_batch_fast(parts[at : at + 4096], add_special_tokens=False)]
@@ -54,27 +59,50 @@ class Encoder:
         """Places of words in the cache, -1 for those that it lacks."""
         return pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().astype(np.int64)
 
-    def _learn(self, words: list[str], ids: list[bytes]) -> None:
-        if words:
-            self.words = pa.concat_arrays([self.words, pa.array(words, pa.string())])
-            self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, ids), np.int64, len(ids)) // 4])
-            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), "<u4")])
-
-    def _words(self, new: list[str]) -> None:
-        """Learn words behind a space; marks behind letters are tokens of their own, so the letters are learned alone."""
-        cores = [w.rstrip(_MARKS) for w in new]
-        keys = [c if c.isalpha() else w for w, c in zip(new, cores, strict=True)]
-        every = list(dict.fromkeys(keys))
-        held = self._places(pa.array(every, pa.string()))
-        todo = [k for k, at in zip(every, held.tolist(), strict=True) if at < 0]
-        encoded = dict(zip(todo, self._batch([" " + k for k in todo]), strict=True))
-        begins = np.cumsum(self.sizes) - self.sizes
-        for k, at in zip(every, held.tolist(), strict=True):
-            if at >= 0:
-                encoded[k] = self.ids[begins[at] : begins[at] + self.sizes[at]].tobytes()
-        marked = [(w, k, w[len(k) :]) for w, k in zip(new, keys, strict=True) if w != k]
-        self._part({marks for _, _, marks in marked})
-        self._learn(todo + [w for w, _, _ in marked], [encoded[k] for k in todo] + [encoded[k] + self.known[marks] for _, k, marks in marked])
+    def _spaced(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of words behind a space, many to a line: spaces stand before words alone, so a token that begins with one begins a word."""
+        lines = [" " + " ".join(words[at : at + TOGETHER]) for at in range(0, len(words), TOGETHER)]
+        encoded = [np.array(e.ids, np.uint32) for at in range(0, len(lines), 16) for e in self.tok.encode_batch_fast(lines[at : at + 16], add_special_tokens=False)]
+        ids = np.concatenate([np.zeros(0, np.uint32), *encoded])
+        firsts = np.flatnonzero(self.begins[ids])
+        if len(firsts) == len(words):
+            return np.diff(np.append(firsts, len(ids))), ids
+        apart = self._batch([" " + w for w in words])  # a vocabulary that shows spaces otherwise
+        return np.fromiter(map(len, apart), np.int64, len(apart)) // 4, np.frombuffer(b"".join(apart), "<u4")
+
+    def _lists(self, table: list[bytes]) -> tuple[np.ndarray, pa.ListArray]:
+        """Sizes and ids by place, of the cache's words and then of a table's parts."""
+        sizes = np.concatenate([self.sizes, np.fromiter(map(len, table), np.int64, len(table)) // 4])
+        ids = np.concatenate([self.ids, np.frombuffer(b"".join(table), "<u4")])
+        return sizes, pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(ids))
+
+    def _learn(self, words: pa.Array, sizes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Add words to the cache; their places."""
+        at = len(self.words) + np.arange(len(words))
+        self.words = pa.concat_arrays([self.words, words])
+        self.sizes, self.ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, ids])
+        return at
+
+    def _words(self, new: pa.Array) -> np.ndarray:
+        """Learn words behind a space; marks behind letters are tokens of their own, so the letters are learned alone. The words' places."""
+        cores = pc.utf8_rtrim(new, _MARKS)
+        keys = pc.if_else(pc.utf8_is_alpha(cores), cores, new).dictionary_encode()
+        every, which = keys.dictionary, keys.indices.to_numpy()
+        held = self._places(every)
+        todo = every.filter(pa.array(held < 0))
+        held[held < 0] = self._learn(todo, *self._spaced(todo.to_pylist()))
+        place = held[which]
+        n_marks = pc.subtract(pc.binary_length(new), pc.binary_length(every.take(keys.indices))).to_numpy()
+        marked = n_marks > 0
+        words = new.filter(pa.array(marked))
+        tails = [w[-n:] for w, n in zip(words.to_pylist(), n_marks[marked].tolist(), strict=True)]
+        kinds = {tail: k for k, tail in enumerate(dict.fromkeys(tails))}
+        self._part(set(kinds))
+        sizes, lists = self._lists([self.known[tail] for tail in kinds])
+        at = np.empty((len(tails), 2), np.int64)
+        at[:, 0], at[:, 1] = place[marked], len(self.words) + np.fromiter(map(kinds.get, tails), np.int64, len(tails))
+        place[marked] = self._learn(words, sizes[at].sum(1), lists.take(pa.array(at.ravel())).flatten().to_numpy())
+        return place
 
     def _only(self, at: np.ndarray) -> None:
         """Keep the cache's words at these places, and the empty one."""
@@ -85,7 +113,7 @@ class Encoder:
         self.words, self.sizes = self.words.take(pa.array(at)), self.sizes[at]
 
     def _places_in(self, texts: pa.Array):
-        """Where the parts of texts stand in the cache: (places of all parts, first part of each text, sizes by place, ids by place, texts that go another way)."""
+        """Where the parts of texts stand in the cache: (places of all parts, first part of each text, ids of the first parts, texts that go another way)."""
         whole = np.zeros(len(texts), bool)
         for special in self.special:
             whole |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
@@ -108,21 +136,19 @@ class Encoder:
             place = self._places(distinct)
         missing = (place < 0) & ~unsafe
         if missing.any():
-            self._words(distinct.filter(pa.array(missing)).to_pylist())
-            place[missing] = self._places(distinct.filter(pa.array(missing)))
+            place[missing] = self._words(distinct.filter(pa.array(missing)))
         place[unsafe] = 0
         self._part(set(starts).union(*apart.values()))
         # the lists of the cache, then of the texts' first words
         table = [self.known[w] for w in starts]
-        sizes = np.concatenate([self.sizes, np.fromiter(map(len, table), np.int64, len(table)) // 4])
         at = place[at]
         at[first] = len(self.sizes) + np.arange(len(first))
-        return at, first, sizes, table, apart
+        return at, first, table, apart
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text; the words of all are told apart at once, and each different one is looked up once."""
-        at, first, sizes, table, apart = self._places_in(pc.fill_null(texts, ""))
-        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(np.concatenate([self.ids, np.frombuffer(b"".join(table), "<u4")])))
+        at, first, table, apart = self._places_in(pc.fill_null(texts, ""))
+        sizes, lists = self._lists(table)
         flat = lists.take(pa.array(at)).flatten().to_numpy()
         edges = np.add.reduceat(sizes[at], first).cumsum().tolist() if len(first) else []
         out = [flat[a:b] for a, b in zip([0, *edges], edges, strict=False)]
@@ -132,7 +158,8 @@ class Encoder:
 
     def count(self, texts: pa.Array) -> np.ndarray:
         """How many ids each text has."""
-        at, first, sizes, _, apart = self._places_in(pc.fill_null(texts, ""))
+        at, first, table, apart = self._places_in(pc.fill_null(texts, ""))
+        sizes = np.concatenate([self.sizes, np.fromiter(map(len, table), np.int64, len(table)) // 4])
         out = np.add.reduceat(sizes[at], first) if len(first) else np.zeros(0, np.int64)
         for k, parts in apart.items():
             out[k] = sum(len(self.known[p]) for p in parts) // 4
@@ -152,6 +179,8 @@ class Encoder:
         return parts
 
 
+#: How the vocabulary shows a space.
+_SPACE = "\u0120"
 #: Marks at a word's end that the tokenizer parts from letters; an apostrophe isn't one.
 _MARKS = ".,!?;:#$%&*|)"
 
