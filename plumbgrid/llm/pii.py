@@ -1,6 +1,7 @@
 """Personal data: patterns propose spans, checksums confirm them, words nearby (on both sides) adjust a score.
 
-An account number (iban) has its country's length, blanks between its characters not counted, and passes mod 97; a
+An account number (iban) has its country's length, blanks between its characters not counted, and passes mod 97, and
+does not begin inside one that does; a
 social security number (ssn) has no area of 000, 666 or 9xx, no group 00 and no serial 0000, and needs a word of its
 kind within `CONTEXT` characters before or behind it.
 
@@ -34,8 +35,9 @@ IBAN_LENGTHS = {
     29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
 }
 _BY_LENGTH = "|".join(f"(?:{'|'.join(countries.split())})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for n, countries in IBAN_LENGTHS.items())
-#: The look ahead turns most places down before the countries are tried one by one.
-IBAN = rf"(?<![A-Za-z0-9])(?=[A-Z][A-Z][0-9][0-9])(?:{_BY_LENGTH})(?![A-Za-z0-9])"
+#: A match is the first four characters and group 1 the whole span, so that a number may begin inside one that fails
+#: its check. The first look ahead turns most places down before the countries are tried one by one.
+IBAN = rf"(?<![A-Za-z0-9])(?=[A-Z][A-Z][0-9][0-9])(?=({_BY_LENGTH})(?![A-Za-z0-9]))[A-Z][A-Z][0-9][0-9]"
 SSN = r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"
 
 #: Kinds in their order, with the score of a confirmed span and the words that raise it.
@@ -91,6 +93,20 @@ def _confirmed(kind: str, hit: Column) -> Column:
     return F.lit(True)
 
 
+def _widened(s: Column, whole: Column) -> Column:
+    """The span that begins where s begins and holds `whole`."""
+    return F.struct(s["start"].alias("start"), (s["start"] + F.length(whole)).alias("end"), whole.alias("hit"), s["at"].alias("at"))
+
+
+def _apart(spans: Column) -> Column:
+    """Spans in order of their starts without those that begin inside one kept before them."""
+
+    def step(acc: Column, s: Column) -> Column:
+        return F.when(F.coalesce(s["start"] >= F.try_element_at(acc, F.lit(-1))["end"], F.lit(True)), F.concat(acc, F.array(s))).otherwise(acc)
+
+    return F.aggregate(spans, F.array().cast("array<struct<start:bigint,end:bigint,hit:string,at:int>>"), step)
+
+
 def _kept(rank: int, kind: str, score: float, words: str) -> Column:
     """The confirmed spans of one kind, scored by the words around them."""
 
@@ -99,7 +115,11 @@ def _kept(rank: int, kind: str, score: float, words: str) -> Column:
         scored = F.when(near, F.lit(score + (0.4 if kind in NEEDS_CONTEXT else RAISE))).otherwise(F.lit(score))
         return F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind"), scored.alias("score"), s["hit"].alias("hit"))
 
-    spans = F.transform(F.filter(located(F.col(f"__m_{kind}"), F.col(f"__g_{kind}")), lambda s: _confirmed(kind, s["hit"])), span)
+    spots = located(F.col(f"__m_{kind}"), F.col(f"__g_{kind}"))
+    if kind == "iban":
+        spots = F.transform(spots, lambda s: _widened(s, F.get(F.col("__whole_iban"), s["at"])))
+    confirmed = F.filter(spots, lambda s: _confirmed(kind, s["hit"]))
+    spans = F.transform(_apart(confirmed) if kind == "iban" else confirmed, span)
     if kind in NEEDS_CONTEXT:
         spans = F.filter(spans, lambda s: s["score"] >= 0.5)
     return F.when(F.size(F.col(f"__m_{kind}")) > 0, spans).otherwise(F.array().cast(_SPANS))
@@ -129,6 +149,7 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     }
     rows = rows.select("*", *[matches(s, p, when).alias(f"__m_{k}") for k, (s, p, when) in plan.items()])
     rows = rows.select("*", *[gaps(s, p, F.col(f"__m_{k}")).alias(f"__g_{k}") for k, (s, p, _) in plan.items()])
+    rows = rows.withColumn("__whole_iban", matches(t, IBAN, F.size("__m_iban") > 0, 1))
     found = [_kept(rank, kind, score, words) for rank, (kind, score, words) in enumerate(KINDS)]
     return rows.select("__id", "__text", F.concat(*found).alias("spans"))
 

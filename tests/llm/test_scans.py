@@ -191,6 +191,8 @@ def test_checksums_and_context(spark, docs):
 MORE = {
     "IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX": ["DE89 3704 0044 0532 0130 00"],
     "IBAN DE89370400440532013000 BIC COBADEFFXXX": ["DE89370400440532013000"],
+    "room DE12 345 NO93 8601 1117 947": ["NO93 8601 1117 947"],  # begins inside one that fails mod 97
+    "DE89 3704 0044 0532 0130 00 NO93 8601 1117 947": ["DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947"],
     "to DE89370400440532013000 EUR 50 2024": ["DE89370400440532013000"],
     "NO93 8601 1117 947 A1, FR14 2004 1010 0505 0001 3M02 606 X": ["NO93 8601 1117 947", "FR14 2004 1010 0505 0001 3M02 606"],
     "DE88370400440532013000 XX89370400440532013000 DE893704004405320130001 aDE89370400440532013000": [],
