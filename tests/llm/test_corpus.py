@@ -287,6 +287,21 @@ def test_pieces(tok):
         assert enc.count(pa.array(texts, pa.string())).tolist() == list(map(len, expected))
 
 
+@pytest.mark.parametrize("shown", [True, False])
+def test_words_learned_in_lines(tok, monkeypatch, shown):
+    """Words met again, with other marks or after the cache was cleared, by a vocabulary that shows spaces and by one that doesn't."""
+    monkeypatch.setattr(token_files, "CACHE_WORDS", 50)
+    monkeypatch.setattr(token_files, "TOGETHER", 3)
+    r, enc = random.Random(12), token_files.Encoder(tok, ("<|endoftext|>",))
+    enc.begins &= shown
+    words = ["".join(r.choices("abcdeéß中1'-\n", k=r.randint(1, 9))).strip() + r.choice(["", ".", ",", "!?", "'", ".a"]) for _ in range(120)]
+    for _ in range(12):
+        texts = [" ".join(r.choices(words, k=r.randint(0, 40))) for _ in range(6)] + ["...", " ", "?! ?!"]
+        expected = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [g.tolist() for g in enc.encode(pa.array(texts))] == expected
+        assert enc.count(pa.array(texts)).tolist() == list(map(len, expected))
+
+
 def test_texts_without_blanks_are_cut(spark, tok):
     r = random.Random(8)
     texts = ["".join(r.choices("的一是不了人我在有他这为之大来以个中上们", k=80_000)), "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=80_000)), "a" * 30_000, "中，" * 20_000]
