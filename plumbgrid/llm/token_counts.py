@@ -10,21 +10,12 @@ from pyspark.sql import functions as F
 
 from .common import column, load, schema_of, trimmed
 from .token_files import encoder
-from .tokenizing import VOCABULARY, Cuts, definition
+from .tokenizing import VOCABULARY, Cuts, byte_batches, definition
 
 BATCH_BYTES = 4 << 20
 PIECE_CHARS = 1 << 16
 
 
-def byte_batches(sizes: np.ndarray, most: int):
-    """(from, to) of runs of rows of about `most` bytes: each ends with the row that reaches it."""
-    ends, at = np.cumsum(sizes), 0
-    while at < len(sizes):
-        to = min(len(sizes), int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most)) + 1)
-        yield at, to
-        at = to
-
-
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, vocabulary: str = VOCABULARY, batch_bytes: int = BATCH_BYTES, piece_chars: int = PIECE_CHARS) -> DataFrame:
     """One row per row of `docs`: the id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 

@@ -2,7 +2,7 @@
 
 The texts are range-partitioned by id and sorted; each partition becomes one file in the shared folder, written
 piece by piece under a name of its attempt and renamed when complete, so that a task that runs again replaces
-its file by an equal one. A small manifest (one row per file) gives each file's place among all ids.
+its file by an equal one. A small manifest (one row per file, sent to the driver) gives each file's place among all ids.
 """
 
 from __future__ import annotations
@@ -20,16 +20,16 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType, LongType
 
 from . import pfor
-from .common import column, cut_lineage, file_system, load, qualified, schema_of, shared_path, trimmed
-from .tokenizing import VOCABULARY, definition, tokenizer
+from .common import column, file_system, load, qualified, schema_of, shared_path, trimmed
+from .tokenizing import VOCABULARY, byte_batches, definition, tokenizer
 
 END = 2
 #: Words that a worker's cache holds before those that were not met again go.
 CACHE_WORDS = 500_000
 #: Other parts that it holds; beyond that it starts anew.
 CACHE_PARTS = 50_000
-#: Texts that are encoded together.
-AT_ONCE = 2048
+#: Bytes of texts that are encoded together; the text that reaches them is the last.
+AT_ONCE = 8 << 20
 #: Words that are encoded in one line.
 TOGETHER = 256
 
@@ -192,6 +192,14 @@ def encoder(text: str) -> Encoder:
     return encoder.kept
 
 
+def encoded(enc: Encoder, batches, most: int = AT_ONCE):
+    """Id and token ids of each row of batches (id, text); about `most` bytes of texts are encoded together, however long each is."""
+    for batch in batches:
+        names, texts = batch.column(0), pc.fill_null(batch.column(1), "")
+        for a, b in byte_batches(pc.binary_length(texts).to_numpy().astype(np.int64), most):
+            yield from zip(names.slice(a, b - a).to_pylist(), enc.encode(texts.slice(a, b - a)), strict=True)
+
+
 def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", end: int = END, vocabulary: str = VOCABULARY) -> DataFrame:
     """Write the files to `folder` (a place that all executors reach) and return the manifest: file, name, counts.
 
@@ -216,18 +224,15 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
         target, trial = f"{root}/tokens-{part:06d}.pfr", f"{root}/.{part:06d}-{uuid.uuid4().hex}"
         with filesystem.open_output_stream(trial) as sink:
             writer = pfor.Writer(sink)
-            for batch in batches:
-                texts = batch.column(1)
-                for at in range(0, batch.num_rows, AT_ONCE):
-                    names = batch.column(0).slice(at, AT_ONCE).to_pylist()
-                    for name, ids in zip(names, enc.encode(texts.slice(at, AT_ONCE)), strict=True):
-                        writer.add(name, np.append(ids, np.uint32(end)))
+            for name, ids in encoded(enc, batches):
+                writer.add(name, np.append(ids, np.uint32(end)))
             writer.close(kind)
         filesystem.move(trial, target)
         yield pa.RecordBatch.from_pydict({"file": [part], "name": [f"tokens-{part:06d}.pfr"], "n_docs": [len(writer.lengths)], "n_ids": [writer.n_ids]})
 
-    # written once: later jobs read the manifest's own file
-    return cut_lineage(rows.mapInArrow(trimmed(write), "file long, name string, n_docs long, n_ids long"), "manifest")
+    # the files are written here, once; a table of one-row files for the manifest would have each task start processes for their modes
+    kinds = "file long, name string, n_docs long, n_ids long"
+    return rows.sparkSession.createDataFrame(rows.mapInArrow(trimmed(write), kinds).collect(), kinds)
 
 
 def read_token_files(manifest: DataFrame, folder: str, id_type: DataType = LongType()) -> DataFrame:

@@ -31,6 +31,15 @@ def tokenizer(text: str):
     return _loaded[key]
 
 
+def byte_batches(sizes: np.ndarray, most: int):
+    """(from, to) of runs of rows of about `most` bytes: each ends with the row that reaches it."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        to = min(len(sizes), int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most)) + 1)
+        yield at, to
+        at = to
+
+
 class Cuts:
     """Places where a text can be cut so that the tokens of its parts are those of the whole.
 

@@ -9,9 +9,11 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 import xxhash
 
+from plumbgrid import lineage
 from plumbgrid.llm import decontaminate, mixing, pfor, simhash, token_counts, token_files
 from plumbgrid.llm.components import components
 from plumbgrid.llm.tokenizing import VOCABULARY, Cuts, tokenizer
@@ -272,6 +274,36 @@ def test_token_files(spark, docs, tok):
     assert plain(token_files.token_output(docs).collect()) == plain(expected)
 
 
+def test_long_texts_are_encoded_few_at_once(tok):
+    """What a worker holds at once is bounded by bytes, not by a number of texts: 3,000 of 10 kB went 20 MB at a time."""
+
+    class Watched(token_files.Encoder):
+        most = 0
+
+        def encode(self, texts):
+            self.most = max(self.most, pa.compute.sum(pa.compute.binary_length(texts)).as_py())
+            return super().encode(texts)
+
+    enc, text = Watched(tok, ("<|endoftext|>",)), "words of one text " * 560
+    texts = [f"{k} {text}" for k in range(3000)] + [None, ""]
+    batch = pa.RecordBatch.from_pydict({"id": range(3002), "text": pa.array(texts, pa.string())})
+    lengths = [(name, len(ids)) for name, ids in token_files.encoded(enc, [batch, batch.slice(0, 0)])]
+    assert 0 < enc.most <= token_files.AT_ONCE + 11_000
+    each = {k: len(tok.encode(t or "", add_special_tokens=False).ids) for k, t in enumerate(texts) if k % 100 == 0 or k >= 3000}
+    assert [name for name, _ in lengths] == list(range(3002)) and all(n == each.get(k, n) for k, n in lengths)
+
+
+def test_manifest_needs_no_table(spark, docs, tmp_path):
+    """Files are written once, by the call; their manifest is no table of one-row files in the shared folder."""
+    made, folder = set(lineage._made), tmp_path / "tokens"
+    manifest = token_files.write_token_files(docs, f"file://{folder}")
+    assert set(lineage._made) == made
+    written = {p.name: p.stat().st_mtime_ns for p in folder.iterdir()}
+    rows = manifest.collect()
+    assert {r.name for r in rows} == set(written) and sum(r.n_docs for r in rows) == docs.count() == token_files.read_token_files(manifest, f"file://{folder}").count()
+    assert {p.name: p.stat().st_mtime_ns for p in folder.iterdir()} == written
+
+
 def test_pieces(tok):
     r, cuts = random.Random(4), Cuts(tok)
     for k in range(300):
